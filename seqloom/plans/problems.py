@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.operators import heavy_keys, hierarchy, incremental, late_events, orphans
+from seqloom.operators import heavy_keys, hierarchy, incremental, late_events, orphans, schema_drift
 from seqloom.plans.registry import Registry
 from seqloom.sources.tables import table
 
@@ -47,6 +47,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending(table(spark, d, "event_log"), table(spark, d, "offsets"))
 
 
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.schema_changes(table(spark, d, "event_log"))
+
+
+@registry.add("p5_table")
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, d, "event_log"))
+
+
 @registry.add("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.tree_places(table(spark, d, "event_log"))
