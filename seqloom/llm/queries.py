@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import packing, tokens
+from seqloom.llm import packing, privacy, tokens
 from seqloom.plans.registry import Registry
 from seqloom.sources.tables import table
 
@@ -37,3 +37,24 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p8_fill")
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.containers(table(spark, d, "documents")))
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors")).select("doc_id", "kind", "value")
+
+
+@registry.add("p9_items")
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items with the surrogates they are exchanged for."""
+    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors"))
+
+
+@registry.add("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redacted(table(spark, d, "documents"), table(spark, d, "contributors"))
+
+
+@registry.add("p9_surrogates")
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.disguised(table(spark, d, "documents"), table(spark, d, "contributors"))
