@@ -163,6 +163,7 @@ LABELLED = [
     ("contact: kes_ever at fern dot invalid", [("email", "kes_ever at fern dot invalid")]),
     ("maintainer: Tordan Evermont <t.e[at]quarry.test>", [("name", "Tordan Evermont"), ("email", "t.e[at]quarry.test")]),
     ("see (x (at) post.example) and <y at inkwell.test>", [("email", "x (at) post.example"), ("email", "y at inkwell.test")]),
+    ("contact: riv.ira+git%40mx.fern.invalid, <kes dot holm at mx dot fern dot invalid>", [("email", "riv.ira+git%40mx.fern.invalid"), ("email", "kes dot holm at mx dot fern dot invalid")]),
     ('u = "mailto:Kes-A@Mail.Example?subject=x"', [("email", "Kes-A@Mail.Example")]),
     ("Merge tag 'v1' of git@forge.example:team/x.git; ssh deploy@build-6.internal.invalid; postgres://svc:pw@db.internal.invalid:5432/m", []),
     ("@scan.route('/x') left-grid@1.30.0 version@2.1 at the end of a.line", []),
