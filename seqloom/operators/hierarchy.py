@@ -22,6 +22,9 @@ from seqloom.operators.lookup import HOT, skew_safe_lookup
 from seqloom.plans.scratch import Scratch
 from seqloom.sources.tables import first_rows
 
+SMALL = 10_000
+"""A frontier of no more entries (times its paths' length) goes to the links, some 100 KB, instead of both to a shuffle."""
+
 
 def links(log: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, parent) by sequence; parent is null for roots.
@@ -68,7 +71,7 @@ def build(links: DataFrame, scratch: Scratch, *, paths: bool = False) -> Hierarc
     left, front, deep = rest.count(), found.count(), 1
     while left and front:
         above = places[-1].withColumnRenamed("node", "parent")
-        if front * (deep if paths else 1) <= HOT:  # a counted, bounded frontier: the links need not move at all
+        if front * (deep if paths else 1) <= SMALL:  # a counted, bounded frontier: the links need not move at all
             both = rest.join(F.broadcast(above), "parent", "left")
         else:
             both = skew_safe_lookup(rest, above, "parent", "left", total=left)
