@@ -150,22 +150,22 @@ class Incremental:
 
     def _rows(self, source: DataFrame, key: str) -> DataFrame:
         hashed = F.xxhash64(*(F.to_json(F.struct(c)) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in sorted(source.dtypes)))
-        return source.withColumn("node", F.floor(F.col(key) / F.lit(SPAN))).withColumn("digest", hashed)
+        return source.withColumn("__node", F.floor(F.col(key) / F.lit(SPAN))).withColumn("__digest", hashed)
 
     def changes(self, source: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """(changed rows, leaf rows of the whole source): rows added or changed since the run in force.
 
-        ``key`` is a unique whole-number column. Deleted rows change their leaf's digest and so the tree, but are not reported.
+        ``key`` is a unique whole-number column; rows where it is null are left out. Deleted rows change their leaf's digest and so the tree, but are not reported.
         """
         rows = self._rows(source.where(F.col(key).isNotNull()), key)
-        marks = rows.select(F.lit(WHOLE).alias("tree"), "node", F.col(key).alias("key"), "digest")
+        marks = rows.select(F.lit(WHOLE).alias("tree"), F.col("__node").alias("node"), F.col(key).alias("key"), F.col("__digest").alias("digest"))
         now = self.current()
         if now is None:
-            return rows.drop("node", "digest"), marks
+            return rows.select(*source.columns), marks
         saved = self.spark.read.parquet(f"{self.base}/run-{now['run']}/marks")
         changed = differing(levels(leaves(marks, ["tree"]), ["tree"]), levels(leaves(saved, ["tree"]), ["tree"]), ["tree"])
-        old = saved.join(changed, ["tree", "node"], "left_semi").select(F.col("key").alias(key), "digest")
-        fresh = rows.join(changed.select("node"), "node", "left_semi").join(old, [key, "digest"], "left_anti")
+        old = saved.join(changed, ["tree", "node"], "left_semi").select(F.col("key").alias(key), F.col("digest").alias("__digest"))
+        fresh = rows.join(changed.select(F.col("node").alias("__node")), "__node", "left_semi").join(old, [key, "__digest"], "left_anti")
         return fresh.select(*source.columns), marks
 
     def run(self, source: DataFrame, key: str, process) -> str:

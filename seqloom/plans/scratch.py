@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_BASES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        _BASES.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def path(self, name: str = "t") -> str:
         self._count += 1
@@ -54,10 +56,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove the files of a table that :meth:`keep` returned."""
-        jvm = self.spark.sparkContext._jvm
-        for name in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-            if folder.toString().startswith(("file:", "hdfs:", "/")) and self.base.split("://")[-1] in folder.toString():
-                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+def clear(spark: SparkSession) -> int:
+    """Remove all intermediate tables of this session; call it when no result that reads them is needed any more. Returns how many groups there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    bases = _BASES.pop(spark.sparkContext.applicationId, [])
+    for base in bases:
+        folder = jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(bases)

@@ -284,3 +284,22 @@ def test_random_forests(spark, make_log, monkeypatch, hot):
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.tree_places(spark.createDataFrame([], LOG)).count() == 0
     assert hierarchy.tree_paths(spark.createDataFrame([], LOG)).count() == 0
+
+
+# ---- all of them ----
+
+
+def test_extra_columns_with_clashing_names_change_nothing(spark, make_log, tmp_path):
+    log = make_log({}, {"parent_id": uid(1), "timestamp": START - timedelta(hours=2)}, {"parent_id": uid(50)}, {"partition_id": 3})
+    names = ["event", "node", "parent", "root", "depth", "block", "period", "outcome", "ref", "born", "tree", "digest", "row", "day", "up", "lane", "union", "n", "size", "value", "count", "field", "val", "ts", "_hot", "pos"]
+    more = log.withColumns({c: F.lit("clash") for c in names})
+    saved = marks(spark).withColumn("organization", F.lit("x")).withColumn("sequence", F.lit("x"))
+    done = spark.createDataFrame([(uid(60), "s", START, 1, 2)], "event_id string, subscriber_id string, completed_at timestamp_ntz, ref int, day int")
+    kept = spark.createDataFrame([(uid(60), START, 1)], "event_id string, processed_at timestamp_ntz, ref int")
+    offsets = spark.createDataFrame([("g", "s", "global", "{}", order(1), 1, 2)], OFFSETS + ", pos int, tree int")
+    for run in (
+        lambda x: late_events.late_rows(x, saved), lambda x: late_events.period_counts(x, saved), lambda x: heavy_keys.key_totals(x, heavy_keys.LOG_FIELDS, sequence="sequence", timestamp="timestamp"),
+        lambda x: orphans.orphan_references(x, done, kept), lambda x: incremental.pending(x, offsets), schema_drift.schema_changes, hierarchy.tree_places, hierarchy.tree_paths,
+    ):
+        assert rows(run(more)) == rows(run(log))
+    assert [r["sequence"] for r in incremental.Incremental(spark, f"file://{tmp_path}/j").changes(more, "sequence")[0].orderBy("sequence").collect()] == [1, 2, 3, 4]
