@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -180,4 +181,5 @@ def heavy_values(log: DataFrame, fields: list[str], share: float = 0.03) -> Data
     for Parquet is metadata.
     """
     total = log.count()
-    return key_totals(log, fields, total=total).where(~F.col("is_null") & (F.col("n") >= F.lit(share * total))).select("field", "val")
+    part = Fraction(str(share))  # exact, so that a value on the border counts
+    return key_totals(log, fields, total=total).where(~F.col("is_null") & (F.col("n") * part.denominator >= part.numerator * total)).select("field", "val")

@@ -5,8 +5,9 @@ Null keys get no partition. The count must be positive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,15 @@ def laned(rows: DataFrame, lane: Column) -> DataFrame:
     return numbered(rows.withColumn("lane", lane), "sequence", keys=("lane",), name="place")
 
 
+def in_lane_order(rows: DataFrame, lane: str, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``handle`` over the rows of each lane in order of sequence, one after the other: a lane is in one task, as one row in flight demands.
+
+    The lane column comes first. A task may hold several lanes, one behind the other; batches may span lanes.
+    """
+    others = [c for c in rows.columns if c != lane]
+    return rows.select(lane, *others).repartition(lane).sortWithinPartitions(lane, "sequence").mapInArrow(handle, schema)
+
+
 def round_robin(rows: DataFrame, lane: Column, lanes: int) -> DataFrame:
     """Order in which lanes are served in turn, lane 1 first and lane 0 last in each turn, with full buffers and instant acks.
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.lookup import skew_safe_lookup
+from seqloom.plans.scratch import Scratch
 from seqloom.sources.tables import first_rows
 
 SHARE = 0.25
@@ -258,10 +259,9 @@ def changes(old: Union, new: Union) -> list[tuple[str, str, str]]:
     """(change, field, new_field) between two versions' unions."""
     was, now = fields(old), fields(new)
     out = []
-    for kinds in ((old.get("types", {}), new.get("types", {})),):
-        first, then = (max(sorted(k), key=lambda x: k[x]) if k else "" for k in kinds)
-        if first != then:
-            out.append(("recoded", "content_type", ""))
+    first, then = (max(sorted(k), key=k.get, default="") for k in (old.get("types", {}), new.get("types", {})))
+    if first != then:
+        out.append(("recoded", "content_type", ""))
     retyped = {f for f in was.keys() & now.keys() if was[f][0] != now[f][0]}
     gone, come = was.keys() - now.keys(), now.keys() - was.keys()
     outer = lambda f: f.partition(".")[0] if "." in f else None
@@ -391,6 +391,6 @@ def consistent_table(log: DataFrame) -> DataFrame:
     ``fields`` maps a field's latest name to its tag (the type it had), the typed branch that holds it and its value converted to the field's
     latest type (null where that fails).
     """
-    rows = payload_rows(log)
+    rows = Scratch(log.sparkSession, "drift").keep(payload_rows(log), "payloads")
     plans = unions(rows).groupBy("topic").applyInPandas(_plan, "topic string, plan string")
     return skew_safe_lookup(rows, plans, "topic").select("sequence", "topic", "version", "content_type", "payload", "plan").mapInArrow(_read, TABLE)

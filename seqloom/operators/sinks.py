@@ -34,10 +34,13 @@ def wire() -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def unwire(texts: DataFrame, name: str = "value") -> DataFrame:
-    """Events of wire texts with ``readable``; null, broken and incomplete texts are not readable (they are acked and skipped)."""
+def unwire(texts: DataFrame, name: str = "value", *, strict: bool = False) -> DataFrame:
+    """Events of wire texts with ``readable``; null, broken and incomplete texts are not readable (they are acked and skipped), or with ``strict`` end the read."""
     parsed = F.from_json(F.col(name), WIRE_SCHEMA, {"mode": "PERMISSIVE"})
-    return texts.withColumn("event", parsed).withColumn("readable", is_object(F.col(name)) & F.col("event.id").isNotNull() & F.col("event.topic").isNotNull())
+    good = is_object(F.col(name)) & F.col("event.id").isNotNull() & F.col("event.topic").isNotNull()
+    if strict:
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("serialization error: no event")).cast("boolean"))
+    return texts.withColumn("event", parsed).withColumn("readable", good)
 
 
 def appended(log: DataFrame, new: DataFrame, order: str) -> DataFrame:

@@ -49,6 +49,12 @@ def flush_points(acks: DataFrame, every: int, keys: Sequence[str]) -> DataFrame:
     return placed.where(F.col("rn") % every == 0).select(*keys, (F.col("rn") / every).cast("bigint").alias("flush"), "sequence")
 
 
+def snapshots(rows: DataFrame, keys: Sequence[str], state: Sequence[str]) -> DataFrame:
+    """(keys, state, sequence): the state of the latest row of each key and the sequence it covers; null sequences are left out."""
+    kept = rows.where(F.col("sequence").isNotNull())
+    return kept.groupBy(*keys).agg(F.max("sequence").alias("sequence"), F.max_by(F.struct(*state), "sequence").alias("_s")).select(*keys, "_s.*", "sequence")
+
+
 # ---- claims ----
 
 

@@ -234,11 +234,11 @@ def handler_timeout(spark: SparkSession, d: str) -> DataFrame:
     return handlers.handled(rows(spark, d), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150).select("sequence", "outcome")
 
 
-@add("consumer_outcomes", f"select topic, outcome, count(*) as n from (select topic, case when {TAKES_MS} > 150 then 'HandlerTimeout' when {JSON} then 'ack' else 'HandlerError' end as outcome from {ROWS}) group by all")
+@add("consumer_outcomes", f"select topic, outcome, count(*) as n from (select topic, case when {TAKES_MS} > 150 then 'handler_timeout' when {JSON} then 'ack' else 'handler_error' end as outcome from {ROWS}) group by all")
 def consumer_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What a consumer settles: ack, or nack with the reason."""
     done = handlers.handled(rows(spark, d), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150)
-    reason = F.when(F.col("outcome") == "ok", "ack").when(F.col("outcome") == "timeout", "HandlerTimeout").otherwise("HandlerError")
+    reason = F.when(F.col("outcome") == "ok", "ack").when(F.col("outcome") == "timeout", "handler_timeout").otherwise("handler_error")
     return done.groupBy("topic", reason.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -321,6 +321,12 @@ def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
     return later.unionByName(own).groupBy(*stores.SCOPE).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
+@add("snapshot_latest", f"select event_key, arg_max(topic, sequence) as topic, arg_max(version, sequence) as version, max(sequence) as sequence from {ROWS} group by event_key")
+def snapshot_latest(spark: SparkSession, d: str) -> DataFrame:
+    """State of each key after its latest row, and the row it covers."""
+    return stores.snapshots(rows(spark, d), ["event_key"], ["topic", "version"])
+
+
 ACKED = f"(select l.sequence, l.partition_id, {uuid_sql('l.id')} in (select {uuid_sql('event_id')} from dedupe where {uuid_sql('event_id')} is not null) as acked from {ROWS} l where l.partition_id is not null)"
 
 

@@ -7,11 +7,12 @@ only after the sinks are.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,3 +92,30 @@ def period_counts(stream: DataFrame, *, period: str = "1 hour", lateness: str =
 def ok_if(condition: Column) -> Column:
     """Outcome of a handler that succeeds on a condition."""
     return F.when(settled(condition), "ok").otherwise("error")
+
+
+def supervised(start: Callable[[], StreamingQuery], *, retries: int = 3, base_s: float = 0.1, multiplier: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run a query to its end, starting it again from its checkpoint after a failure, with longer waits; returns the restarts.
+
+    The count of failures in a row starts anew whenever a run makes progress. The last error is raised.
+    """
+    if multiplier < 1:
+        raise ValueError("a multiplier is at least 1")
+    failed, restarts = 0, 0
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return restarts
+        except Exception:
+            failed = 1 if any(p.numInputRows for p in query.recentProgress) else failed + 1
+            if failed > retries:
+                raise
+            restarts += 1
+            sleep(base_s * multiplier ** (failed - 1))
+
+
+def inspected(rows: DataFrame, **hooks: Column) -> tuple[DataFrame, Observation]:
+    """``rows`` with counters that are filled as they pass by: each hook is a condition; ``seen`` counts all."""
+    seen = Observation()
+    return rows.observe(seen, F.count("*").alias("seen"), *(F.count_if(settled(c)).alias(k) for k, c in hooks.items())), seen

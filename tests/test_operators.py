@@ -413,3 +413,42 @@ def test_writers(spark, make_log):
     assert sinks.write_with_retry(write, sleep=waits.append) == 3 and waits == [0.1, 0.2]
     with pytest.raises(OSError):
         sinks.write_with_retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)
+
+
+def test_strict_reading_ends_at_poison(spark):
+    poison = values(spark, "string", "{").withColumnRenamed("x", "value")
+    with pytest.raises(PySparkException):
+        sinks.unwire(poison, strict=True).collect()
+
+
+def test_lanes_are_handled_in_order(spark):
+    r = random.Random(8)
+    data = [(i, i % 3) for i in range(200)]
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "sequence bigint, lane bigint").repartition(5)
+
+    def handle(batches):
+        last = {}
+        for b in batches:
+            for lane, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                assert last.get(lane, -1) < n
+                last[lane] = n
+            yield b
+
+    assert partitioning.in_lane_order(df, "lane", handle, "lane bigint, sequence bigint").count() == 200
+
+
+def test_snapshots(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (3, "a", None), (2, "a", "y"), (None, "a", "z"), (5, None, "n")], "sequence bigint, k string, s string")
+    assert rows(stores.snapshots(df, ["k"], ["s"])) == [("a", None, 3), (None, "n", 5)]
+
+
+def test_schemas_and_collected_events(spark):
+    from seqloom.sources import model
+
+    assert model.create_table_sql("dedupe", "state.seen").startswith("create table if not exists `state`.`seen` (event_id string")
+    with pytest.raises(ValueError):
+        model.create_table_sql("dedupe", "a b")
+    got = model.collected(spark, [{"sequence": 1, "metadata": {"a": "b"}}])
+    assert got.head()["metadata"] == {"a": "b"} and got.schema == spark.createDataFrame([], LOG).schema
+    assert not model.SOURCES["queue"].cursor and model.SOURCES["log"].start_after

@@ -93,6 +93,25 @@ def test_stream_period_counts(spark, folder, tmp_path):
     assert sum(r["n"] for r in got.collect()) == 46
 
 
+def test_supervised_restarts_and_gives_up(spark, folder, tmp_path):
+    flat, waits, tries = merged_files(folder), [], iter([1, 1, 0])
+
+    def outcome():
+        return F.raise_error(F.lit("no")).cast("string") if next(tries) else runner.ok_if(F.col("topic") == "good")
+
+    make = lambda o: runner.Consumer(runner.file_stream(spark, flat, SHORT), o, f"{tmp_path}/out", f"{tmp_path}/state").start(until_end=True)
+    assert runner.supervised(lambda: make(outcome), sleep=waits.append) == 2 and waits == [0.1, 0.2]
+    assert spark.read.parquet(f"{tmp_path}/out/ok").count() == 34
+    bad = lambda: runner.Consumer(runner.file_stream(spark, flat, SHORT), lambda: F.raise_error(F.lit("no")).cast("string"), f"{tmp_path}/o2", f"{tmp_path}/s2").start(until_end=True)
+    with pytest.raises(Exception):  # noqa: B017
+        runner.supervised(bad, retries=1, sleep=waits.append)
+
+
+def test_inspection(spark):
+    df, seen = runner.inspected(spark.range(10), even=F.col("id") % 2 == 0)
+    assert df.count() == 10 and seen.get == {"seen": 10, "even": 5}
+
+
 def test_log_source_offsets(spark, data, tmp_path):
     spark.dataSource.register(LogSource)
     path = f"{data}/event_log.parquet"
