@@ -137,5 +137,5 @@ def period_counts(log: DataFrame, watermarks: DataFrame) -> DataFrame:
     out = counts.join(sizes, keys, "left").join(distinct, keys, "left")
     return out.select(
         *keys, "n_on_time", "n_corrected", "n_dropped", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_events"), F.coalesce("n_keys", F.lit(0)).cast("bigint").alias("n_keys"),
-        F.col("n_distinct").cast("bigint").alias("n_sizes"), F.col("lowest").cast("bigint").alias("min_size"), F.col("highest").cast("bigint").alias("max_size"), F.col("median").cast("double").alias("median_size"),
+        F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_sizes"), F.col("lowest").cast("bigint").alias("min_size"), F.col("highest").cast("bigint").alias("max_size"), F.col("median").cast("double").alias("median_size"),
     )

@@ -5,44 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.operators import heavy_keys, hierarchy, incremental, late_events, orphans, schema_drift
+from seqloom.plans import sql
 from seqloom.plans.registry import Registry
 from seqloom.sources.tables import table
 
 registry = Registry()
 
 
-@registry.add("p1_found")
+@registry.add("p1_found", sql.P1_FOUND)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return late_events.late_rows(table(spark, d, "event_log"), table(spark, d, "watermarks"))
 
 
-@registry.add("p1_period_counts")
+@registry.add("p1_period_counts", sql.P1_PERIOD_COUNTS)
 def p1_period_counts(spark: SparkSession, d: str) -> DataFrame:
     return late_events.period_counts(table(spark, d, "event_log"), table(spark, d, "watermarks"))
 
 
-@registry.add("p2_found")
+@registry.add("p2_found", sql.P2_FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_values(table(spark, d, "event_log"), heavy_keys.LOG_FIELDS)
 
 
-@registry.add("p2_key_totals")
+@registry.add("p2_key_totals", sql.P2_KEY_TOTALS)
 def p2_key_totals(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.key_totals(table(spark, d, "event_log"), heavy_keys.LOG_FIELDS, sequence="sequence", timestamp="timestamp")
 
 
-@registry.add("p3_found")
+@registry.add("p3_found", sql.P3_FOUND)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = orphans.orphan_references(table(spark, d, "event_log"), table(spark, d, "multiplexer_completions"), table(spark, d, "dedupe"))
     return found.drop("day")
 
 
-@registry.add("p3_counts")
+@registry.add("p3_counts", sql.P3_COUNTS)
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_counts(table(spark, d, "event_log"), table(spark, d, "multiplexer_completions"), table(spark, d, "dedupe"))
+    counts = orphans.orphan_counts(table(spark, d, "event_log"), table(spark, d, "multiplexer_completions"), table(spark, d, "dedupe"))
+    return counts.withColumn("day", counts["day"].cast("string"))
 
 
-@registry.add("p4_found")
+@registry.add("p4_found", sql.P4_FOUND)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending(table(spark, d, "event_log"), table(spark, d, "offsets"))
 
@@ -57,21 +59,21 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(table(spark, d, "event_log"))
 
 
-@registry.add("p6_found")
+@registry.add("p6_found", sql.P6_FOUND)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.tree_places(table(spark, d, "event_log"))
 
 
-@registry.add("p6_paths")
+@registry.add("p6_paths", sql.P6_PATHS)
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.tree_paths(table(spark, d, "event_log"))
 
 
-@registry.add("p6_descendants")
+@registry.add("p6_descendants", sql.P6_DESCENDANTS)
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "event_log"))
 
 
-@registry.add("p6_cycles")
+@registry.add("p6_cycles", sql.P6_CYCLES)
 def p6_cycles(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.cycles(table(spark, d, "event_log"))

@@ -11,6 +11,7 @@ from seqloom.operators import filters, folds, handlers, sinks, stateful, stores
 from seqloom.operators.filters import EventFilter
 from seqloom.operators.handlers import Route
 from seqloom.plans.registry import Registry
+from seqloom.plans.sql import uuid_sql
 from seqloom.sources.tables import first_rows, table
 
 registry = Registry()
@@ -26,11 +27,6 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "event_log").select(*COLUMNS).distinct()
 
 
-def uuid_sql(text: str) -> str:
-    bare = f"lower(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'))"
-    return f"(case when regexp_full_match({bare}, '(?:urn:uuid:)?\\{{?[0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}}\\}}?') then regexp_replace(regexp_replace({bare}, '^urn:uuid:', ''), '[{{}}-]', '', 'g') end)"
-
-
 FIRST = f"(select * from (select *, row_number() over (partition by {uuid_sql('id')} order by sequence) as _n from {ROWS}) where _n = 1)"
 
 # ---- de-duplication ----
