@@ -1,7 +1,7 @@
 """Processing only new or changed records, by a Merkle tree over key-range digests.
 
-A leaf covers ``SPAN`` consecutive sequences of one tree (a partition of the log, or the whole log); its digest is the
-exclusive or of its rows' hashes. A node of the next level digests the digests of ``FANOUT`` children. Two trees are
+A leaf covers ``SPAN`` consecutive sequences of one tree (a partition of the log, or the whole log); its digest hashes the
+exclusive or of its rows' hashes and their number. A node of the next level digests the digests of ``FANOUT`` children. Two trees are
 compared from the top: only nodes whose digests differ are opened, and only rows of differing leaves are read. A leaf holds at
 most ``SPAN`` rows whatever the skew of keys and partitions, so the extraction is split evenly.
 
@@ -65,7 +65,9 @@ def row_digest() -> Column:
 
 def leaves(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, digest, n) of the leaves of ``rows`` (keys, node, digest)."""
-    return rows.groupBy(*keys, "node").agg(F.bit_xor("digest").alias("digest"), F.count("*").alias("n"))
+    # the count is hashed in, because equal rows cancel out in pairs
+    by = rows.groupBy(*keys, "node").agg(F.bit_xor("digest").alias("x"), F.count("*").alias("n"))
+    return by.select(*keys, "node", F.xxhash64("x", "n").alias("digest"), "n")
 
 
 def parents(level: DataFrame, keys: list[str]) -> DataFrame:

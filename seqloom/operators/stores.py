@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.incremental import position_of
-from seqloom.operators.ordering import numbered
+from seqloom.operators.ordering import block_of, numbered
 
 SCOPE = ["consumer_group_id", "stream_id"]
 
@@ -35,6 +35,23 @@ def resume_after(checkpoints: DataFrame, where: Column | None = None) -> DataFra
     return rows.where(F.col("position").isNotNull()).groupBy(*SCOPE).agg(F.min("position").alias("start"))
 
 
+def remaining_counts(log: DataFrame, marks: DataFrame, position: str) -> DataFrame:
+    """(scope, n, first): how many rows, and the first of them, lie behind each scope's position in the log; scopes with none are left out.
+
+    The log is counted in blocks of sequences. Positions are laid among the blocks' totals in order, so what lies in later blocks is a running
+    sum over the totals, and only a position's own block is counted row by row.
+    """
+    log = log.select("sequence").where(F.col("sequence").isNotNull()).withColumn("block", block_of("sequence"))
+    totals = log.groupBy("block").agg(F.count("*").alias("n"), F.min("sequence").alias("first"))
+    marks = marks.where(F.col(position).isNotNull()).select(*SCOPE, F.col(position).alias("position"), block_of(position).alias("block"))
+    none = [F.lit(None).cast("string").alias(c) for c in SCOPE]
+    laid = totals.select("block", "n", "first", *none, F.lit(False).alias("mark")).unionByName(marks.select("block", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("first"), *SCOPE, F.lit(True).alias("mark")))
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("block"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = laid.withColumn("behind", F.coalesce(F.sum("n").over(later), F.lit(0))).withColumn("next", F.min("first").over(later)).where("mark").select(*SCOPE, F.col("behind").alias("n"), F.col("next").alias("first"))
+    own = marks.join(log, "block").where(F.col("sequence") > F.col("position")).groupBy(*SCOPE).agg(F.count("*").alias("n"), F.min("sequence").alias("first"))
+    return behind.unionByName(own).groupBy(*SCOPE).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 0")
+
+
 def contiguous(rows: DataFrame, acked: Column, keys: Sequence[str]) -> DataFrame:
     """(keys, checkpoint): the greatest sequence before which every delivered row of the key is acked; null where the first isn't."""
     flagged = rows.withColumn("_ok", F.coalesce(acked, F.lit(False)))

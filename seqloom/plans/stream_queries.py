@@ -309,12 +309,7 @@ select consumer_group_id, stream_id, count(*) as n, min(sequence) as first from
 def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
     """What each reader with a global cursor still has before it: rows are counted in blocks of sequences, and only the cursor's own block row by row."""
     marks = stores.monotone_checkpoints(table(spark, d, "offsets")).where("cursor_id = 'global'").select(*stores.SCOPE, "position")
-    log = rows(spark, d).select("sequence").withColumn("block", F.floor(F.col("sequence") / 4096))
-    blocks = log.groupBy("block").agg(F.count("*").alias("n"), F.min("sequence").alias("first")).withColumn("one", F.lit(1))
-    marks = marks.withColumn("at", F.floor(F.col("position") / 4096)).withColumn("one", F.lit(1))
-    later = marks.join(blocks, "one").where(F.col("block") > F.col("at")).select(*stores.SCOPE, "n", "first")
-    own = marks.join(log, F.col("at") == F.col("block")).where(F.col("sequence") > F.col("position")).select(*stores.SCOPE, F.lit(1).cast("bigint").alias("n"), F.col("sequence").alias("first"))
-    return later.unionByName(own).groupBy(*stores.SCOPE).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return stores.remaining_counts(rows(spark, d).select("sequence"), marks, "position")
 
 
 @add("snapshot_latest", f"select event_key, arg_max(topic, sequence) as topic, arg_max(version, sequence) as version, max(sequence) as sequence from {ROWS} group by event_key")

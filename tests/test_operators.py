@@ -353,6 +353,13 @@ def test_contiguous_and_flushes(spark):
     assert rows(stores.flush_points(df, 2, ["k"])) == [("a", 1, 2), ("a", 2, 4)]
 
 
+def test_remaining_counts(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 5)
+    log = values(spark, "bigint", *range(3, 40), None).withColumnRenamed("x", "sequence")
+    marks = spark.createDataFrame([("g", "a", 0), ("g", "b", 17), ("g", "c", 39), ("g", "d", 24), ("g", "e", None), ("g", "f", 500)], "consumer_group_id string, stream_id string, at bigint")
+    assert rows(stores.remaining_counts(log, marks, "at")) == [("g", "a", 37, 3), ("g", "b", 22, 18), ("g", "d", 15, 25)]
+
+
 def test_claims(spark):
     df = spark.createDataFrame([(1, "a", None, 0), (2, "a", START, 2), (3, "a", START + timedelta(days=9), 0), (4, "b", None, 0)], "id bigint, who string, claimed_until timestamp_ntz, attempts int")
     now = str(START + timedelta(days=1))

@@ -187,6 +187,14 @@ def test_run_publishes_output_and_tree_together(spark, tmp_path, monkeypatch):
     assert sorted(r["n"] for r in job.output().collect()) == sorted([*range(40), 7, *range(40, 45)])
 
 
+def test_equal_rows_do_not_cancel_out(spark):
+    one = spark.createDataFrame([("all", 0, 5)], "tree string, node bigint, digest bigint")
+    three = one.unionByName(one).unionByName(one)
+    trees = [incremental.levels(incremental.leaves(x, ["tree"]), ["tree"]) for x in (one, three)]
+    assert rows(incremental.differing(*trees, ["tree"])) == [("all", 0)]
+    assert rows(incremental.differing(trees[0], trees[0], ["tree"])) == []
+
+
 # ---- schema drift ----
 
 
