@@ -13,7 +13,9 @@ cycle of one; repeated rows and redeliveries count once (first rows); empty tabl
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from seqloom.plans.scratch import Scratch
 from seqloom.sources.tables import first_rows
 
 SMALL = 10_000
-"""A frontier of no more entries (times its paths' length) goes to the links, some 100 KB, instead of both to a shuffle."""
+"""A frontier of no more entries (times its paths' length) goes to the links, some 100 KB, instead of both to a shuffle; and no more open links than
+this are finished in one task, since by then levels are many and nearly empty."""
 
 
 def links(log: DataFrame, scratch: Scratch) -> DataFrame:
@@ -59,6 +62,46 @@ class Hierarchy:
         return out.select("node", "low", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
+def _remaining_levels(rest: DataFrame, above: DataFrame, paths: bool) -> DataFrame:
+    """(node, parent, root, depth, path where asked for, hit): the levels of the open links, one after the other from the frontier ``above`` down.
+
+    One task gets the open links and the frontier's nodes that they name, at most twice ``SMALL`` rows, and hands on a level at a time.
+    """
+    place = [c for c in ("root", "depth", "path") if c in above.columns]
+    seeds = above.join(rest.select("parent").distinct(), "parent", "left_semi")
+    both = rest.select("node", "parent", *(F.lit(None).cast(above.schema[c].dataType).alias(c) for c in place))
+    both = both.unionByName(seeds.select(F.lit(None).cast("bigint").alias("node"), "parent", *place)).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below: dict[int, list[int]] = {}
+        front: list[tuple] = []
+        for batch in batches:
+            for node, parent, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if node is None:
+                    front.append((parent, *at))
+                else:
+                    below.setdefault(parent, []).append(node)
+        while front:
+            found, following = [], []
+            for parent, root, depth, *path in front:
+                for node in below.pop(parent, ()):
+                    longer = [[*path[0], node]] if paths else []
+                    found.append((node, parent, root, depth + 1, *longer, True))
+                    following.append((node, root, depth + 1, *longer))
+            if found:
+                yield _batch(found)
+            front = following
+        if below:
+            yield _batch([(node, parent, None, None, *([None] if paths else []), False) for parent, nodes in below.items() for node in nodes])
+
+    fields = [("node", pa.int64()), ("parent", pa.int64()), ("root", pa.int64()), ("depth", pa.int32()), *([("path", pa.list_(pa.int64()))] if paths else []), ("hit", pa.bool_())]
+
+    def _batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    return both.mapInArrow(run, f"node bigint, parent bigint, root bigint, depth int, {'path array<bigint>, ' if paths else ''}hit boolean")
+
+
 def build(links: DataFrame, scratch: Scratch, *, paths: bool = False) -> Hierarchy:
     """Place every node of ``links`` (node, parent; parent null for roots)."""
     spark = links.sparkSession
@@ -71,14 +114,18 @@ def build(links: DataFrame, scratch: Scratch, *, paths: bool = False) -> Hierarc
     left, front, deep = rest.count(), found.count(), 1
     while left and front:
         above = places[-1].withColumnRenamed("node", "parent")
-        if front * (deep if paths else 1) <= SMALL:  # a counted, bounded frontier: the links need not move at all
+        last = left <= SMALL
+        if last:  # what is open is counted and few: all further levels in one task
+            both = _remaining_levels(rest, above, paths)
+        elif front * (deep if paths else 1) <= SMALL:  # a counted, bounded frontier: the links need not move at all
             both = rest.join(F.broadcast(above), "parent", "left")
         else:
             both = skew_safe_lookup(rest, above, "parent", "left", total=left)
-        longer = [F.concat("path", F.array("node")).alias("path")] if paths else []
-        both = both.select("node", "parent", "root", (F.col("depth") + 1).alias("depth"), *longer, F.col("root").isNotNull().alias("hit"))
-        if left <= HOT:
-            both = both.coalesce(1)
+        if not last:
+            longer = [F.concat("path", F.array("node")).alias("path")] if paths else []
+            both = both.select("node", "parent", "root", (F.col("depth") + 1).alias("depth"), *longer, F.col("root").isNotNull().alias("hit"))
+            if left <= HOT:
+                both = both.coalesce(1)
         at, seen = scratch.path("level"), Observation()
         both.observe(seen, F.count_if("hit").alias("hits")).write.option("compression", "zstd").partitionBy("hit").parquet(at)
         front, deep = seen.get["hits"], deep + 1
@@ -87,6 +134,8 @@ def build(links: DataFrame, scratch: Scratch, *, paths: bool = False) -> Hierarc
             places.append(wrote.where("hit").drop("hit", "parent"))
         rest = wrote.where("not hit").select("node", "parent")
         left -= front
+        if last:
+            break
     reached = places[0]
     for level in places[1:]:
         reached = reached.unionByName(level)

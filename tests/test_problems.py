@@ -257,7 +257,8 @@ def test_drift_of_nothing(spark, make_log):
 # ---- hierarchy ----
 
 
-def test_places_paths_and_cycles(spark, make_log):
+def test_places_paths_and_cycles(spark, make_log, monkeypatch):
+    monkeypatch.setattr(hierarchy, "SMALL", 2)
     log = make_log(
         {}, {"parent_id": uid(1)}, {"parent_id": " ", "causation_id": uid(2).upper()}, {"parent_id": uid(4)}, {"parent_id": uid(6)}, {"parent_id": uid(5)}, {"parent_id": uid(6)}, {"parent_id": uid(500)},
         {"causation_id": "cron/x"}, {"parent_id": "no uuid", "causation_id": uid(1)}, {"sequence": 11, "id": uid(2), "parent_id": uid(9)},
@@ -269,10 +270,11 @@ def test_places_paths_and_cycles(spark, make_log):
     assert rows(hierarchy.cycles(log)) == [(4, 4, True), (5, 5, True), (6, 5, True), (7, 5, False)]
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_random_forests(spark, make_log, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "small"), [(100_000, 10_000), (3, 10_000), (3, 0), (100_000, 20)])
+def test_random_forests(spark, make_log, monkeypatch, hot, small):
     monkeypatch.setattr(lookup, "HOT", hot)
     monkeypatch.setattr(hierarchy, "HOT", hot)
+    monkeypatch.setattr(hierarchy, "SMALL", small)
     r = random.Random(7)
     up = {i: r.choice([None, 1, r.randrange(1, 61)]) for i in range(1, 61)}
     log = make_log(*({"parent_id": uid(up[i]) if up[i] else None} for i in range(1, 61)))
@@ -287,6 +289,13 @@ def test_random_forests(spark, make_log, monkeypatch, hot):
         elif seen:
             want.append((i, x, len(seen)))
     assert rows(hierarchy.tree_places(log)) == sorted(want, key=repr)
+    paths = {r["sequence"]: r["path"] for r in hierarchy.tree_paths(log).collect()}
+    for i in up:
+        trail, x = [i], i
+        while up[x] and len(trail) < 99:
+            x = up[x]
+            trail.append(x)
+        assert paths[i] == (None if len(trail) == 99 else "/".join(map(str, reversed(trail))))
 
 
 def test_hierarchy_of_nothing(spark):
