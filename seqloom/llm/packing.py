@@ -3,7 +3,7 @@
 Vector best-fit: a container has a residual for each capacity (tokens, number of documents, attention cost, which is the sum of squared
 lengths). Items come longest first; an item goes to the container that takes it under every constraint and has the smallest weighted
 norm of residuals afterwards, and to a new container if none takes it. Items longer than a container are cut first, into full containers
-and a rest; nothing else is ever cut.
+and a rest; nothing else is ever cut, and full containers take no part in the search.
 
 Items are spread over shards of about ``SHARD`` items by a hash that has nothing to do with their length or source, and each shard is packed by
 one task. The shards' number follows the items', so a task's work is bounded, and a shard leaves no more than a few containers
@@ -27,6 +27,9 @@ CAPACITY = 2048
 MOST_DOCUMENTS = 512
 ATTENTION = CAPACITY * CAPACITY
 SHARD = 8192
+ALONE = 1 << 52
+"""Numbers of containers that one piece fills start here; a shard's are its number times 2 ** 24 and up."""
+
 WEIGHTS = (1.0, 0.05, 0.05)
 """Of tokens, documents and attention cost in the norm of residuals."""
 
@@ -75,12 +78,17 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", *, capac
     """
     attention = attention or capacity * capacity
     most = min(capacity, int(attention**0.5))
-    # materialised: sharding numbers rows, and the sizes cost a pass over all texts
+    # materialised: rows are numbered, and the sizes cost a pass over all texts
     sizes = Scratch(sizes.sparkSession, "packing").keep(sizes.select(F.col(key).alias("doc_id"), F.col(size).cast("int").alias("size")), "sizes")
-    shards = max(1, sizes.count() // SHARD)
     cuts = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.lit(most)).cast("int"))
-    items = sizes.where("size > 0").select("doc_id", "size", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), F.explode(cuts).alias("piece"))
-    items = items.select("shard", "doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("size") - F.col("piece") * most).alias("n_tokens"))
+    items = sizes.where("size > 0").select("doc_id", "size", F.monotonically_increasing_id().alias("row"), F.explode(cuts).alias("piece"))
+    items = items.select("row", "doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("size") - F.col("piece") * most).alias("n_tokens"))
+    # a piece that fills a container needs no search; so a text of any length adds at most one item to a shard
+    whole = items.where(F.col("n_tokens") == capacity)
+    items = items.where(F.col("n_tokens") < capacity)
+    left = F.when(F.lit(most == capacity), (F.col("size") % most > 0).cast("bigint")).otherwise(F.ceil(F.col("size") / F.lit(most)).cast("bigint"))
+    shards = max(1, (sizes.where("size > 0").agg(F.sum(left)).head()[0] or 0) // SHARD)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "piece"], kind="stable")
@@ -89,7 +97,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", *, capac
 
     packed = items.groupBy("shard").applyInPandas(one, ROWS)
     void = sizes.where("size <= 0 or size is null").select(F.lit(None).cast("bigint").alias("container"), F.col("doc_id").cast("bigint"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("n_tokens"))
-    return packed.unionByName(void)
+    alone = whole.select((F.lit(ALONE) + F.monotonically_increasing_id()).alias("container"), F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "start", "n_tokens")
+    return packed.unionByName(alone).unionByName(void)
 
 
 def containers(texts: DataFrame, path: str | None = None) -> DataFrame:

@@ -115,6 +115,12 @@ def test_every_constraint_holds_and_every_token_is_once(spark, capacity, documen
         assert len(mine) == -(-size // most) and (size <= most or (mine.n_tokens.iloc[:-1] == most).all())
 
 
+def test_a_giant_text_fills_its_own_containers(spark):
+    got = packing.pack(sizes_of(spark, [2048 * 5000 + 3, 2045, 2048])).toPandas()
+    assert got.groupby("container").n_tokens.sum().max() == 2048 and got.container.nunique() == 5002
+    assert got[got.doc_id == 0].n_tokens.sum() == 2048 * 5000 + 3 and sorted(got[got.doc_id == 0].piece) == list(range(5001))
+
+
 def test_little_is_left_empty(spark):
     r = random.Random(5)
     sizes = [min(4000, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000)]
