@@ -23,36 +23,53 @@ def segment_of(order: str = "sequence") -> Column:
     return F.floor(F.col(order) / F.lit(SEGMENT))
 
 
-def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence") -> DataFrame:
+def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence", rest: str = "") -> DataFrame:
     """(keys, segment, sequence, out): each stream, a combination of keys within a segment, goes through a new step made by ``start``.
 
-    ``step(order, *values)`` is called in order and returns the tuple of ``out`` (name -> type).
+    ``step(order, *values)`` is called in order and returns the tuple of ``out`` (name -> type). With ``rest``, ``step.finish()`` is called at
+    the end of each stream and gives further tuples; they stand under the stream's last row, numbered from 1 in the column ``rest``, which is 0
+    for the rows' own tuples.
     """
     names = [*keys, "segment", order, *values]
     picked = rows.where(F.col(order).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), segment_of(order).alias("segment"), F.col(order), *(c.alias(k) for k, c in values.items()))
     at = [*keys, "segment"]
     ordered = picked.repartition(*at).sortWithinPartitions(*at, order, *values)
     width = len(at)
+    out = {rest: "bigint", **out} if rest else out
     schema = ", ".join([*(f"{k} {picked.schema[k].dataType.simpleString()}" for k in [*at, order]), *(f"{k} {t}" for k, t in out.items())])
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     result_types = [arrow[t] for t in out.values()]
 
+    def finished(place: tuple | None, step: Callable | None) -> list[tuple]:
+        return [(*place, i, *given) for i, given in enumerate(step.finish(), 1)] if rest and step else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, step = None, None
+        stream, step, place, schema = None, None, None, None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            made = []
+            made, late = [], []
             for row in zip(*columns, strict=True):
                 if row[:width] != stream:
+                    late += finished(place, step)
                     stream, step = row[:width], start()
-                made.append(step(*row[width:]))
+                place = row[: width + 1]
+                made.append((0, *step(*row[width:])) if rest else step(*row[width:]))
             results = list(zip(*made, strict=True)) or [()] * len(out)
             arrays = [*batch.columns[: width + 1], *(pa.array(r, t) for r, t in zip(results, result_types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, [*names[: width + 1], *out])
+            yield (given := pa.RecordBatch.from_arrays(arrays, [*names[: width + 1], *out]))
+            schema = given.schema
+            if late:
+                yield _rows_of(late, schema)
+        if late := finished(place, step):
+            yield _rows_of(late, schema)
 
     return ordered.mapInArrow(run, schema)
 
 
+def _rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def windows(size: int, wait_us: int) -> Callable[[], Callable]:
     """Micro-windows: closed at ``size`` rows or ``wait_us`` after the first row's time, whichever comes first. Gives the window's number."""
 
@@ -133,24 +150,31 @@ def deepest_lane(lanes: int, burst: int, capacity: int) -> Callable[[], Callable
     """Depth-weighted lane service: stay on a lane for up to ``burst`` rows, then go to the deepest lane, the first of equals.
 
     Rows enter as the buffers allow (``capacity`` rows wait in all); one is served for each that enters, with instant acks. Gives
-    the sequence served in the step.
+    the sequence served in the step; ``finish`` serves those that still wait at the end, by the same rule.
     """
 
     def start() -> Callable:
         waiting: list[list[int]] = [[] for _ in range(lanes)]
         last, served, held = 0, 0, 0
 
-        def step(sequence: int, lane: int) -> tuple[int, int]:
+        def serve() -> tuple[int, int]:
             nonlocal last, served, held
-            waiting[lane].append(sequence)
-            held += 1
-            if held <= capacity:
-                return (-1, -1)
             if not waiting[last] or served >= burst:
                 last, served = max(range(lanes), key=lambda k: (len(waiting[k]), -k)), 0
             served, held = served + 1, held - 1
             return (waiting[last].pop(0), last)
 
+        def step(sequence: int, lane: int) -> tuple[int, int]:
+            nonlocal held
+            waiting[lane].append(sequence)
+            held += 1
+            return serve() if held > capacity else (-1, -1)
+
+        def finish() -> Iterator[tuple[int, int]]:
+            while held:
+                yield serve()
+
+        step.finish = finish
         return step
 
     return start

@@ -509,9 +509,9 @@ def batch_writer_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @add("lane_depth_weighted")
 def lane_depth_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """Service of 8 lanes by depth, burst 8, with 128 rows of buffer, per organization and log segment."""
+    """Service of 8 lanes by depth, burst 8, with 128 rows of buffer, per organization and log segment; what waits at the end is served after the last row, in order of ``drained``."""
     lanes = rows(spark, d).where("partition_id is not null")
-    return folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 8, 128), {"served": "bigint", "served_lane": "int"})
+    return folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 8, 128), {"served": "bigint", "served_lane": "int"}, rest="drained")
 
 
 @add("writer_map", f"select sequence, topic || '.v' || version as topic from {ROWS}")

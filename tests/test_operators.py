@@ -298,6 +298,20 @@ def test_depth_weighted_lanes(spark):
     assert got == [(-1, -1)] * 3 + [(1, 0), (5, 0), (2, 1), (3, 1)]
 
 
+def test_lanes_are_drained_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(folds, "SEGMENT", 40)
+    r = random.Random(3)
+    data = [(i, "ab"[r.randrange(5) == 0], r.randrange(3)) for i in range(1, 101)]
+    df = spark.createDataFrame(data, "sequence bigint, k string, v int")
+    got = folds.fold(df, {"k": F.col("k")}, {"v": F.col("v")}, folds.deepest_lane(3, 4, 16), {"served": "bigint", "lane": "int"}, rest="drained").collect()
+    assert sorted((x["k"], x["served"], x["lane"]) for x in got if x["served"] != -1) == sorted((k, i, v) for i, k, v in data)
+    assert sorted(x["sequence"] for x in got if x["drained"] == 0) == [i for i, _, _ in data]
+    # three rows wait at the end of the stream that test_depth_weighted_lanes follows: the turn on lane 1 ends, then lane 0 is the deepest
+    df = spark.createDataFrame(list(enumerate([0, 1, 1, 1, 0, 0, 0], 1)), "sequence bigint, v int")
+    got = folds.fold(df, {}, {"v": F.col("v")}, folds.deepest_lane(2, 2, 3), {"served": "bigint", "lane": "int"}, rest="drained").where("drained > 0").orderBy("sequence", "drained")
+    assert [(x["drained"], x["served"], x["lane"]) for x in got.collect()] == [(1, 6, 0), (2, 7, 0), (3, 4, 1)]
+
+
 def test_folds_restart_in_segments_and_by_key(spark, monkeypatch):
     monkeypatch.setattr(folds, "SEGMENT", 10)
     df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)] + [(None, "a")], "sequence bigint, k string")
