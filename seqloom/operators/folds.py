@@ -1,8 +1,8 @@
 """Ordered folds: operators whose next state depends on all rows before.
 
-A stream is read in segments of the log (``SEGMENT`` sequences); a fold starts anew in each segment, and what is open at its end is flushed, as when a
-reader reopens there. A key of any weight so is spread over as many tasks as its rows span segments. Rows are sorted by the engine and
-pass through the fold one Arrow batch at a time; no stream or segment is gathered.
+With ``carry`` a stream is all rows of a key: state goes over every segment border, and one task reads a key's rows. Without it a stream is
+read in segments of the log (``SEGMENT`` sequences); a fold starts anew in each segment, and what is open at its end is flushed, as when a
+reader reopens there. Rows are sorted by the engine and pass through the fold one Arrow batch at a time; no stream or segment is gathered.
 
 Null order values are left out; ties of the order are taken in the order of the value columns; empty input gives no rows.
 """
@@ -23,8 +23,8 @@ def segment_of(order: str = "sequence") -> Column:
     return F.floor(F.col(order) / F.lit(SEGMENT))
 
 
-def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence", rest: str = "") -> DataFrame:
-    """(keys, segment, sequence, out): each stream, a combination of keys within a segment, goes through a new step made by ``start``.
+def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence", rest: str = "", carry: bool = False) -> DataFrame:
+    """(keys, segment, sequence, out): each stream, a combination of keys, goes through a new step made by ``start``; without ``carry`` it ends with each segment.
 
     ``step(order, *values)`` is called in order and returns the tuple of ``out`` (name -> type). With ``rest``, ``step.finish()`` is called at
     the end of each stream and gives further tuples; they stand under the stream's last row, numbered from 1 in the column ``rest``, which is 0
@@ -33,8 +33,9 @@ def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], st
     names = [*keys, "segment", order, *values]
     picked = rows.where(F.col(order).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), segment_of(order).alias("segment"), F.col(order), *(c.alias(k) for k, c in values.items()))
     at = [*keys, "segment"]
-    ordered = picked.repartition(*at).sortWithinPartitions(*at, order, *values)
+    ordered = (picked.repartition(*(keys if carry else at)) if keys or not carry else picked.coalesce(1)).sortWithinPartitions(*at, order, *values)
     width = len(at)
+    of = len(keys) if carry else width
     out = {rest: "bigint", **out} if rest else out
     schema = ", ".join([*(f"{k} {picked.schema[k].dataType.simpleString()}" for k in [*at, order]), *(f"{k} {t}" for k, t in out.items())])
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -49,9 +50,9 @@ def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], st
             columns = [c.to_pylist() for c in batch.columns]
             made, late = [], []
             for row in zip(*columns, strict=True):
-                if row[:width] != stream:
+                if row[:of] != stream:
                     late += finished(place, step)
-                    stream, step = row[:width], start()
+                    stream, step = row[:of], start()
                 place = row[: width + 1]
                 made.append((0, *step(*row[width:])) if rest else step(*row[width:]))
             results = list(zip(*made, strict=True)) or [()] * len(out)

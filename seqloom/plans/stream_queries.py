@@ -44,8 +44,8 @@ def dedupe_against_store(spark: SparkSession, d: str) -> DataFrame:
 
 @add("dedupe_bounded")
 def dedupe_bounded(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded first-in, first-out memory of 1,000 ids per organization and log segment."""
-    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, {"event": F.lower(F.hex(uuid_key(F.col("id"))))}, folds.bounded_memory(1000), {"delivered": "boolean"})
+    """Bounded first-in, first-out memory of 1,000 ids per organization."""
+    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, {"event": F.lower(F.hex(uuid_key(F.col("id"))))}, folds.bounded_memory(1000), {"delivered": "boolean"}, carry=True)
 
 
 # ---- monotone gate ----
@@ -496,22 +496,22 @@ def wire_decode_skip_poison(spark: SparkSession, d: str) -> DataFrame:
 
 @add("sqs_batches")
 def sqs_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of at most 10 entries and 256 KiB per partition and log segment, by the size of the wire text."""
+    """Batches of at most 10 entries and 256 KiB per partition, by the size of the wire text."""
     log = table(spark, d, "event_log").dropDuplicates(["sequence"]).select("sequence", "partition_id", F.octet_length(sinks.wire()).cast("bigint").alias("size"))
-    return folds.fold(log, {"partition_id": F.col("partition_id")}, {"size": F.col("size")}, folds.batches(10, 256 * 1024), {"batch": "bigint"})
+    return folds.fold(log, {"partition_id": F.col("partition_id")}, {"size": F.col("size")}, folds.batches(10, 256 * 1024), {"batch": "bigint"}, carry=True)
 
 
 @add("batch_writer_groups")
 def batch_writer_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of 1 to 7 events gathered to flushes of at least 100, per topic and log segment."""
-    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"})
+    """Requests of 1 to 7 events gathered to flushes of at least 100, per topic."""
+    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"}, carry=True)
 
 
 @add("lane_depth_weighted")
 def lane_depth_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """Service of 8 lanes by depth, burst 8, with 128 rows of buffer, per organization and log segment; what waits at the end is served after the last row, in order of ``drained``."""
+    """Service of 8 lanes by depth, burst 8, with 128 rows of buffer, per organization; what waits at the end is served after the last row, in order of ``drained``."""
     lanes = rows(spark, d).where("partition_id is not null")
-    return folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 8, 128), {"served": "bigint", "served_lane": "int"}, rest="drained")
+    return folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 8, 128), {"served": "bigint", "served_lane": "int"}, rest="drained", carry=True)
 
 
 @add("writer_map", f"select sequence, topic || '.v' || version as topic from {ROWS}")

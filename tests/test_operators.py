@@ -321,6 +321,31 @@ def test_folds_restart_in_segments_and_by_key(spark, monkeypatch):
     assert folds.fold(df.where("false"), {"k": F.col("k")}, {"v": F.col("sequence")}, folds.windows(2, 9), {"w": "bigint"}).count() == 0
 
 
+def test_carried_folds_go_over_segment_borders(spark, monkeypatch):
+    monkeypatch.setattr(folds, "SEGMENT", 10)
+    data = [(i, "ab"[i % 3 == 0], f"i{(i * i) % 23}") for i in range(80)]
+    df = spark.createDataFrame(data, "sequence bigint, k string, v string").repartition(7)
+    for make, kind, out, of in (
+        (folds.bounded_memory(6), "string", "boolean", lambda v: v), (folds.batches(4, 12), "bigint", "bigint", lambda v: len(v) * 2), (folds.grouped_requests(25), "bigint", "bigint", len),
+    ):
+        steps = {k: make() for k in "ab"}
+        want = [(k, i // 10, i, *steps[k](i, of(v))) for i, k, v in data]
+        value = F.col("v") if kind == "string" else (F.length("v") * (2 if of("xx") == 4 else 1)).cast("bigint")
+        got = folds.fold(df, {"k": F.col("k")}, {"v": value}, make, {"o": out}, carry=True)
+        assert [tuple(r) for r in got.orderBy("sequence").collect()] == want
+    got = folds.fold(df, {}, {"v": F.lit(0)}, folds.deepest_lane(1, 2, 8), {"served": "bigint", "lane": "int"}, rest="drained", carry=True).where("served >= 0").orderBy("sequence", "drained")
+    assert [r["served"] for r in got.collect()] == [i for i, _, _ in data]
+
+
+def test_bounded_memory_reaches_over_a_segment_border(spark, make_log, tmp_path):
+    from seqloom.plans import stream_queries
+
+    border = folds.SEGMENT
+    make_log(*({"sequence": n, "id": uid(e)} for n, e in ((border - 2, 1), (border - 1, 2), (border, 1), (border + 1, 3)))).write.parquet(f"{tmp_path}/event_log.parquet")
+    got = stream_queries.dedupe_bounded(spark, str(tmp_path)).orderBy("sequence")
+    assert [r["delivered"] for r in got.collect()] == [True, True, False, True]
+
+
 # ---- handlers ----
 
 
