@@ -1,7 +1,7 @@
 """Schemas that drift between versions of one topic.
 
 Tagged-union inference: every input split fuses the schemas of its payloads into one union per topic and version, which keeps, per
-path, each alternative type with its count and a description of its values (the set while it is small, the forms of texts,
+path, each alternative type with its count and a description of its values (sketches of the set and of the forms of texts,
 the range of numbers, the kinds of array elements). Unions are themselves fused, in rounds, into one per topic and version; fusing is
 associative and commutative, so the result doesn't depend on how payloads are split. Comparing the unions of neighbouring versions
 reports the alternatives that appear and disappear; fields that go and come with like descriptions are renames. Reading back, a path
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -36,11 +37,9 @@ from seqloom.sources.tables import first_rows
 SHARE = 0.25
 """Part of a version's readable payloads that must hold a field."""
 
-SET = 64
-"""A set of values is kept while it has no more members; beyond, a field is described by form or range."""
-
-FORMS = 256
-"""Texts of more forms than this are free text, which is a form of its own."""
+SET, FORMS = 64, 256
+"""Members of the sketch of a set of values, and of one of forms or keys: those of least hash, with exact counts. Sketches fuse without loss, and a set
+of no more members is whole. Two are compared below the hash up to which both are complete, so that passing the number changes no rule."""
 
 ALIKE = 0.6
 """Least likeness of two descriptions that makes a rename."""
@@ -84,11 +83,27 @@ def form_of(text: str) -> str:
     return f"{marks[:16]}|{classes}|{min(len(text), 17)}"
 
 
+@lru_cache(1 << 16)
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+@lru_cache(1 << 16)
+def _forms(text: str) -> tuple[str, str]:
+    """Form of a text, and its rough form: whether it has white space, whether it has other marks, and the classes of its letters and digits."""
+    form = form_of(text)
+    rough = f"{'s' * bool(re.search(r'\s', text))}{'m' * bool(re.search(r'[^\w\s]|_', text))}|{form.rsplit('|', 2)[1]}"
+    return form, rough
+
+
 def _describe(value: object, kind: str, into: dict) -> None:
     into["n"] = into.get("n", 0) + 1
     if kind == "string":
+        form, rough = _forms(value) if len(value) < 200 else ("long", "long")
         _count(into, "set", value, SET)
-        _count(into, "forms", form_of(value) if len(value) < 200 else "long", FORMS)
+        _count(into, "forms", form, FORMS)
+        counts = into.setdefault("rough", {})
+        counts[rough] = counts.get(rough, 0) + 1
     elif kind == "number":
         into["lo"], into["hi"] = min(into.get("lo", value), value), max(into.get("hi", value), value)
         into["whole"] = into.get("whole", 0) + (isinstance(value, int) or value.is_integer())
@@ -104,10 +119,14 @@ def _describe(value: object, kind: str, into: dict) -> None:
 
 def _count(into: dict, name: str, value: str, most: int) -> None:
     counts = into.setdefault(name, {})
-    if counts is not None:
-        counts[value] = counts.get(value, 0) + 1
-        if len(counts) > most:
-            into[name] = None
+    key = _hash(value) if len(value) < 200 else _hash.__wrapped__(value)  # long texts are not kept
+    if key in counts:
+        counts[key] += 1
+    elif len(counts) < most:
+        counts[key] = 1
+    elif key < (last := max(counts)):
+        del counts[last]
+        counts[key] = 1
 
 
 def observe(union: Union, found: dict | None, content_type: str | None) -> None:
@@ -135,20 +154,17 @@ LIMITS = {"set": SET, "forms": FORMS, "keys": FORMS}
 
 
 def fuse(a: Union, b: Union) -> Union:
-    """Union of two unions (``a`` is used up). Counts add up, ranges widen, sets that grow too large stay dropped."""
+    """Union of two unions (``a`` is used up). Counts add up, ranges widen, sketches keep the members of least hash."""
     for k, y in b.items():
         if k not in a:
             a[k] = y
             continue
         x = a[k]
         if k in LIMITS:
-            if x is None or y is None:
-                a[k] = None
-            else:
-                for v, n in y.items():
-                    x[v] = x.get(v, 0) + n
-                if len(x) > LIMITS[k]:
-                    a[k] = None
+            for v, n in y.items():
+                x[v] = x.get(v, 0) + n
+            for v in sorted(x)[LIMITS[k] :]:
+                del x[v]
         elif k == "lo":
             a[k] = min(x, y)
         elif k == "hi":
@@ -218,21 +234,24 @@ def _overlap(a: dict, b: dict) -> float:
     return sum(min(a[k] / n, b[k] / m) for k in a.keys() & b.keys()) if n and m else 0.0
 
 
+def _complete(a: dict, b: dict, name: str) -> tuple[dict, dict]:
+    """Two sketches up to the hash below which both have every member."""
+    full = [max(x[name]) for x in (a, b) if len(x[name]) >= LIMITS[name]]
+    return tuple({k: n for k, n in x[name].items() if not full or k <= min(full)} for x in (a, b))
+
+
+def _forms_alike(a: dict, b: dict) -> float:
+    """Overlap of the forms; texts whose form was seen once and in one of the two only count by their rough form, since most forms of free text are new."""
+    x, y = _complete(a, b, "forms")
+    new = min((sum(n for k, n in of.items() if n == 1 and k not in other) / max(1, sum(of.values()))) for of, other in ((x, y), (y, x)))
+    return _overlap(x, y) + new * _overlap(a["rough"], b["rough"])
+
+
 def likeness(kind: str, a: dict, b: dict) -> float:
-    """How alike two descriptions of values of one type are: 1 for the same set, form or range."""
+    """How alike two descriptions of values of one type are: 1 for the same set, form or range. The rule is the same for any number of values."""
     if kind == "string":
-        if a["set"] is not None and b["set"] is not None:
-            shared = len(a["set"].keys() & b["set"].keys())
-            few = min(len(a["set"]), len(b["set"]))
-            if few and shared >= 0.5 * few and max(a["n"], b["n"]) > 2 * few:
-                return max(_overlap(a["set"], b["set"]), shared / few)
-            if min(a["n"], b["n"]) >= 4 * SET:  # enough values to see whole sets
-                return 0.9 * shared / max(len(a["set"]), len(b["set"]), 1)
-        elif (a["set"] is None) != (b["set"] is None) and min(a["n"], b["n"]) >= 4 * SET:
-            return 0.0  # one is a small set, the other is not
-        if a["forms"] is None or b["forms"] is None:
-            return 1.0 if a["forms"] is b["forms"] else 0.0
-        return _overlap(a["forms"], b["forms"])
+        x, y = _complete(a, b, "set")
+        return max(_overlap(x, y), len(x.keys() & y.keys()) / max(1, min(len(x), len(y))), _forms_alike(a, b))
     if kind == "number":
         if (a["whole"] >= 0.9 * a["n"]) != (b["whole"] >= 0.9 * b["n"]):
             return 0.0
@@ -241,9 +260,8 @@ def likeness(kind: str, a: dict, b: dict) -> float:
     if kind == "boolean":
         return 1.0
     if kind == "object":
-        if a["keys"] is None or b["keys"] is None:
-            return 0.0
-        return len(a["keys"].keys() & b["keys"].keys()) / max(1, len(a["keys"].keys() | b["keys"].keys()))
+        x, y = _complete(a, b, "keys") if a.get("keys") and b.get("keys") else ({}, {})
+        return len(x.keys() & y.keys()) / max(1, len(x.keys() | y.keys()))
     of_a, of_b = a.get("of", {}), b.get("of", {})
     if not of_a or not of_b:
         return 1.0 if not of_a and not of_b else 0.0

@@ -1,6 +1,7 @@
 """The data-processing operators against plain computations on small inputs, with nulls, ties, repeats and empty tables."""
 
 import base64
+import itertools
 import json
 import random
 from datetime import timedelta
@@ -239,6 +240,32 @@ def test_fusing_does_not_depend_on_the_split(make_log):
     assert fused == whole
 
 
+def union_of(values):
+    union = {}
+    for value in values:
+        schema_drift.observe(union, value, "j")
+    return json.loads(json.dumps(union))
+
+
+@pytest.mark.parametrize("n", [56, 600, 3000])
+def test_renames_do_not_depend_on_the_number_of_rows(n):
+    r = random.Random(n)
+    marks = ["".join(c) for c in itertools.product(" ,.;", repeat=6)]
+    text = lambda at: "x".join(["a", *marks[at], "b"])
+    free = lambda: "x".join(["a", *r.choices(" ,.;", k=14), "b"])
+    kinds = {
+        "moving days": (lambda i: f"2031-01-{i % 28 + 1:02d}", lambda i: f"2031-02-{i % 28 + 1:02d}"),
+        "one passes the set's size": (lambda i: f"B-{i % 60:03d}", lambda i: f"B-{i % 70:03d}"),
+        "one passes the forms' size": (lambda i: text(i % 250), lambda i: text(i % 270)),
+        "free text, all new": (lambda i: free(), lambda i: free()),
+    }
+    for name, (was, now) in kinds.items():
+        old, new = union_of({"was": was(i)} for i in range(n)), union_of({"now": now(i)} for i in range(n))
+        assert (name, schema_drift.changes(old, new)) == (name, [("renamed", "was", "now")])
+    old, new = union_of({"was": f"{r.randrange(16**12):012x}"} for _ in range(n)), union_of({"now": free()} for _ in range(n))
+    assert schema_drift.changes(old, new) == [("added", "now", ""), ("removed", "was", "")]
+
+
 def test_consistent_table(make_log):
     log = versions(make_log, (1, '{"qty":3,"u":{"z":"a"}}', "application/json"), (2, '{"qty":"4"}', "application/json"), (2, '{"qty":"x"}', "application/json"), (2, "nothing", "application/json"))
     got = {r["sequence"]: r["fields"] for r in schema_drift.consistent_table(log).collect()}
