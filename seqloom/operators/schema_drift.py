@@ -335,16 +335,23 @@ TABLE = f"sequence bigint, topic string, version bigint, content_type string, fi
 
 
 def _plan(part: pd.DataFrame) -> pd.DataFrame:
-    """For each version the latest name of each field, and for each latest name the canonical type."""
+    """For each version the latest name of each field, and for each latest name the canonical type. An old name that lagging writers still use in later versions is renamed there too, unless it is a field of that version."""
     part = part.sort_values("version")
     seen = [(int(v), json.loads(u)) for v, u in zip(part.version, part["union"], strict=True)]
     names: dict[int, dict[str, str]] = {}
     later: dict[str, str] = {}
+    renames: list[tuple[int, dict[str, str]]] = []
     for (v, _), above in zip(reversed(seen), [None, *reversed(seen)], strict=False):
         if above is not None:
             here = {f: later.get(g, g) for c, f, g in changes(dict(seen)[v], above[1]) if c == "renamed"}
             later = {**later, **here}
+            renames.append((above[0], here))
         names[v] = dict(later)
+    before: dict[str, str] = {}
+    for v, union in seen:
+        before |= next((here for w, here in renames if w == v), {})
+        held = fields(union)
+        names[v] |= {f: g for f, g in before.items() if f not in held and f != g}
     types: dict[str, str] = {}
     for v, union in seen:
         for f, (kind, _) in fields(union).items():
@@ -394,10 +401,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     flat.update({f"{name}.{inner}": y for inner, y in x.items()})
                 flat[name] = x
             typed = {}
-            for path, x in flat.items():
+            for path, x in sorted(flat.items(), key=lambda p: p[0] in names):  # the latest name's own value first; on a clash the other keeps its name
                 kind = KINDS.get(type(x))
                 if kind is not None:
                     latest = names.get(path, path)
+                    latest = path if latest in typed else latest
                     typed.setdefault(latest, _branches(x, kind, plan["types"].get(latest, kind)))
             rows.append({"sequence": r["sequence"], "topic": r["topic"], "version": r["version"], "content_type": r["content_type"], "fields": list(typed.items())})
         yield pa.RecordBatch.from_pylist(rows, schema)

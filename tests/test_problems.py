@@ -275,6 +275,14 @@ def test_consistent_table(make_log):
     assert got[1]["u.z"]["text"] == "a"
 
 
+def test_stragglers_get_the_latest_name(make_log):
+    old = [(1, json.dumps({"qty": i}), "j") for i in range(20)]
+    new = [(v, json.dumps({"amount": i}), "j") for v in (2, 3) for i in range(20)]
+    late = [(2, '{"qty":5}', "j"), (3, '{"qty":6}', "j"), (3, '{"qty":7,"amount":8}', "j"), (3, '{"qty":9,"amount":null}', "j")]
+    got = {r["sequence"]: {k: x["number"] for k, x in r["fields"].items()} for r in schema_drift.consistent_table(versions(make_log, *old, *new, *late)).collect()}
+    assert [got[n] for n in (1, 21, 61, 62, 63, 64)] == [{"amount": 0}, {"amount": 0}, {"amount": 5}, {"amount": 6}, {"amount": 8, "qty": 7}, {"amount": 9}]
+
+
 def test_drift_of_nothing(spark, make_log):
     assert schema_drift.schema_changes(spark.createDataFrame([], LOG)).count() == 0
     assert schema_drift.schema_changes(make_log({"topic": None}, {"version": None}, {"payload": None})).count() == 0
