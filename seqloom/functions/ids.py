@@ -23,13 +23,22 @@ def _digits(bare: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "^urn:uuid:", ""), "[{}-]", "")
 
 
+def _usual(col: Column) -> Column:
+    """The 16 bytes of a UUID of 32 digits and hyphens in the usual four places; null for any other text."""
+    digits = F.replace(col, F.lit("-"), F.lit(""))
+    form = (F.length(col) == 36) & (F.length(digits) == 32)
+    for at in (9, 14, 19, 24):
+        form &= F.substring(col, at, 1) == "-"
+    return F.when(form, F.unhex(digits))
+
+
 def uuid_key(col: Column) -> Column:
     """The 16 bytes of a UUID in any spelling; null for null, blank and other text.
 
-    A text of the usual 36 characters takes a path without regular expressions on the letters.
+    A text in the usual spelling takes a path without regular expressions; only what that path refuses is matched with them.
     """
     bare = _bare(col)
-    return F.when(bare.rlike(UUID_PATTERN), F.unhex(_digits(bare)))
+    return F.coalesce(_usual(col), F.when(bare.rlike(UUID_PATTERN), F.unhex(_digits(bare))))
 
 
 def uuid_text(key: Column) -> Column:
@@ -44,10 +53,9 @@ def event_key_of(col: Column) -> Column:
 
     Null and blank ids give null.
     """
-    trimmed = F.regexp_replace(col, WHITE, "")
-    return F.coalesce(uuid_key(col), F.when(trimmed != "", F.encode(trimmed, "UTF-8")))
+    return F.coalesce(uuid_key(col), F.when(~is_blank(col), F.encode(F.regexp_replace(col, WHITE, ""), "UTF-8")))
 
 
 def is_blank(col: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return col.isNull() | (F.regexp_replace(col, WHITE, "") == "")
+    return col.isNull() | ~col.rlike(r"\S")
