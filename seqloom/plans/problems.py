@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.operators import heavy_keys, hierarchy, incremental, late_events, orphans, schema_drift
 from seqloom.plans import sql
 from seqloom.plans.registry import Registry
+from seqloom.plans.scratch import Scratch
 from seqloom.sources.tables import table
 
 registry = Registry()
@@ -49,6 +51,49 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending(table(spark, d, "event_log"), table(spark, d, "offsets"))
 
 
+def stored_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The log's rows, one for each sequence, and its last sequence."""
+    log = table(spark, d, "event_log").where("sequence is not null").dropDuplicates(["sequence"])
+    return log, table(spark, d, "event_log").agg(F.coalesce(F.max("sequence"), F.lit(0))).head()[0]
+
+
+@registry.add("p4_changes", sql.P4_CHANGES)
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed in the log since an earlier run that saw its first four fifths, with other payloads on one topic of its second half and with rows that are gone since."""
+    log, top = stored_rows(spark, d)
+    job = incremental.Incremental(spark, Scratch(spark, "job").path("base"))
+    other = (F.col("topic") == "cart.updated") & (F.col("sequence") > F.floor(F.lit(top) / 2))
+    before = log.where(F.col("sequence") <= F.floor(F.lit(top * 4) / 5)).withColumn("payload", F.when(other, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in log.dtypes if c != "sequence"]
+    gone = table(spark, d, "events").select((-1 - F.col("event_id")).alias("sequence"), *none)
+    job.run(before.unionByName(gone), "sequence", lambda rows: rows.select("sequence"))
+    return job.differences(log, "sequence").select(F.col("key").alias("sequence"), "change")
+
+
+@registry.add("p4_reruns", sql.P4_RERUNS)
+def p4_reruns(spark: SparkSession, d: str) -> DataFrame:
+    """Output of a job on a growing log: a run, one that fails half-way, the same again, and one with nothing new."""
+    log, top = stored_rows(spark, d)
+    scratch = Scratch(spark, "job")
+    job = incremental.Incremental(spark, scratch.path("base"))
+
+    def numbered(n: int):
+        return lambda rows: rows.select("sequence", "topic", F.lit(n).alias("run"))
+
+    def failing(rows: DataFrame) -> DataFrame:
+        numbered(2)(rows).where(F.col("topic") < "m").write.parquet(scratch.path("half"))
+        raise RuntimeError("half-way")
+
+    job.run(log.where(F.col("sequence") <= F.floor(F.lit(top) / 2)), "sequence", numbered(1))
+    try:
+        job.run(log, "sequence", failing)
+    except RuntimeError:
+        pass
+    job.run(log, "sequence", numbered(3))
+    job.run(log, "sequence", numbered(4))
+    return job.output().select("sequence", "topic", "run")
+
+
 @registry.add("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, d, "event_log"))

@@ -52,6 +52,11 @@ g as (select distinct consumer_group_id, stream_id from p where part is not null
 select consumer_group_id, stream_id, sequence from p join f on sequence > pos where part is null
 union select g.consumer_group_id, g.stream_id, f.sequence from g join f on f.partition_id between 0 and 63 left join p on p.consumer_group_id = g.consumer_group_id and p.stream_id = g.stream_id and p.part = f.partition_id where f.sequence > coalesce(p.pos, 0)"""
 
+STORED = "r as (select distinct sequence, topic from event_log), e as (select max(sequence) as top from event_log)"
+P4_CHANGES = f"""with {STORED} select sequence, 'added' as change from r, e where sequence > top * 4 // 5
+union all select sequence, 'changed' from r, e where topic = 'cart.updated' and sequence > top // 2 and sequence <= top * 4 // 5 union all select -1 - event_id, 'deleted' from events"""
+P4_RERUNS = f"with {STORED} select sequence, topic, case when sequence <= top // 2 then 1 else 3 end::integer as run from r, e"
+
 TREE = f"""recursive {FIRST},
 l as (select sequence as node, case when trim(coalesce(parent_id, ''), ' \t\n\r') <> '' then {uuid_sql('parent_id')} else {uuid_sql('causation_id')} end as up from f),
 n as (select l.node, f.sequence as parent from l left join f on f.event = l.up),

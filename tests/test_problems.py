@@ -174,6 +174,60 @@ def test_pending_by_cursor(spark, make_log, monkeypatch):
     assert incremental.pending(spark.createDataFrame([], LOG), offsets).count() == 0
 
 
+def test_trees_are_opened_only_where_they_differ(spark, make_log, monkeypatch):
+    monkeypatch.setattr(incremental, "SPAN", 4)
+    monkeypatch.setattr(incremental, "FANOUT", 2)
+    scratch = incremental.Scratch(spark, "test")
+    log = make_log(*({"partition_id": i % 2, "payload": f'{{"n":{i}}}'} for i in range(1, 41)))
+    changed = log.withColumn("payload", F.when(F.col("sequence") == 6, "{}").otherwise(F.col("payload"))).unionByName(make_log({"sequence": 50, "partition_id": 1}))
+    offsets = spark.createDataFrame([("g", "s", "global", None, order(22)), ("h", "s", "partition:64:0", None, order(40)), ("k", "s", "global", None, order(2**63 - 1))], OFFSETS)
+    marks = incremental.event_marks(log, scratch)
+    saved = incremental.saved_of(marks, incremental.event_tree(marks, scratch), offsets, scratch)
+    at = scratch.path("saved")
+    saved.write(at)
+    saved = incremental.Saved.read(spark, at, len(saved.tree) - 1)
+    now = incremental.event_marks(changed, scratch)
+    tree = incremental.event_tree(now, scratch)
+    # a payload that changed behind the cursors, at 6, is found in its leaf, 1; of the other leaves only the cursor's own and later ones are opened
+    opened = sorted((r["consumer_group_id"], r["node"]) for r in incremental.differing_for(tree, saved, scratch).where("tree in ('all', '1')").collect())
+    assert opened == sorted([("g", n) for n in (1, 5, 6, 7, 8, 9, 10, 12)] + [("h", n) for n in (*range(10), 12)] + [("k", 1), ("k", 12)])
+    got = {(r["consumer_group_id"], r["sequence"], r["change"]) for r in incremental.changes_for(now, tree, saved, scratch).collect()}
+    later = {("g", i, "added") for i in (*range(23, 41), 50)} | {("h", i, "added") for i in (*range(1, 41, 2), 50)} | {("k", 50, "added")}
+    assert got == later | {(g, 6, "changed") for g in "ghk"}
+
+
+def test_differences_of_every_kind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "SPAN", 4)
+    monkeypatch.setattr(incremental, "FANOUT", 2)
+    job = incremental.Incremental(spark, f"file://{tmp_path}/job")
+    make = lambda pairs: spark.createDataFrame(pairs, "n int, digest string, m map<string,string>")
+    first = make([(i, "v", {"a": "b", "c": "d"}) for i in range(30)] + [(None, "v", {})])
+    job.run(first, "n", lambda d: d)
+    second = make([(i, "w" if i == 9 else "v", {"c": "d", "a": "e" if i == 17 else "b"}) for i in range(33) if i != 4])
+    assert rows(job.differences(second, "n").select("key", "change")) == sorted([(9, "changed"), (17, "changed"), (4, "deleted"), (30, "added"), (31, "added"), (32, "added")], key=repr)
+    fresh, _ = job.changes(second, "n")
+    assert sorted(r["n"] for r in fresh.collect()) == [9, 17, 30, 31, 32] and fresh.columns == ["n", "digest", "m"]
+    assert job.changes(make([]), "n")[0].count() == 0
+
+
+def test_of_two_runs_at_once_one_is_published(spark, tmp_path):
+    base = f"file://{tmp_path}/job"
+    job, other = incremental.Incremental(spark, base), incremental.Incremental(spark, base)
+    source = spark.range(10).withColumnRenamed("id", "n")
+
+    def meanwhile(rows):
+        other.run(source, "n", lambda d: d)
+        return rows
+
+    with pytest.raises(incremental.Conflict):
+        job.run(source, "n", meanwhile)
+    assert job.output().count() == 10
+    job.run(spark.range(12).withColumnRenamed("id", "n"), "n", lambda d: d)
+    job.compact()
+    assert job.output().count() == 12 and len(job.current()["runs"]) == 1
+    assert rows(job.changes(spark.range(12).withColumnRenamed("id", "n"), "n")[0]) == []
+
+
 def test_run_publishes_output_and_tree_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "SPAN", 8)
     job = incremental.Incremental(spark, f"file://{tmp_path}/job")
@@ -191,7 +245,7 @@ def test_run_publishes_output_and_tree_together(spark, tmp_path, monkeypatch):
 def test_equal_rows_do_not_cancel_out(spark):
     one = spark.createDataFrame([("all", 0, 5)], "tree string, node bigint, digest bigint")
     three = one.unionByName(one).unionByName(one)
-    trees = [incremental.levels(incremental.leaves(x, ["tree"]), ["tree"]) for x in (one, three)]
+    trees = [incremental.levels(incremental.leaves(x, ["tree"]), ["tree"], 2) for x in (one, three)]
     assert rows(incremental.differing(*trees, ["tree"])) == [("all", 0)]
     assert rows(incremental.differing(trees[0], trees[0], ["tree"])) == []
 
