@@ -24,6 +24,12 @@ def p1_period_counts(spark: SparkSession, d: str) -> DataFrame:
     return late_events.period_counts(table(spark, d, "event_log"), table(spark, d, "watermarks"))
 
 
+@registry.add("p1_batches", sql.P1_PERIOD_COUNTS)
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts from a state that three batches of arrivals have adjusted, each classified against what the ones before have left."""
+    return late_events.period_counts(table(spark, d, "event_log"), table(spark, d, "watermarks"), batches=3)
+
+
 @registry.add("p2_found", sql.P2_FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_values(table(spark, d, "event_log"), heavy_keys.LOG_FIELDS)

@@ -85,6 +85,16 @@ def test_period_counts(spark, make_log):
     assert (first["min_size"], first["max_size"], first["median_size"]) == (1, 4, 2.5)
 
 
+@pytest.mark.parametrize("batches", [2, 7])
+def test_counts_do_not_depend_on_the_batches(spark, make_log, monkeypatch, batches):
+    monkeypatch.setattr(late_events, "BLOCK", 4)
+    r = random.Random(5)
+    log = make_log(*({"timestamp": START + timedelta(minutes=r.randrange(400)), "payload": "x" * r.randrange(9), "event_key": r.choice("abc"), "organization": r.choice(["acme", "other"])} for _ in range(70)))
+    saved = marks(spark, *((f"acme@{s}", r.randrange(200), 1) for s in range(0, 90, 7)))
+    assert rows(late_events.period_counts(log, saved, batches)) == rows(late_events.period_counts(log, saved))
+    assert {r["n_dropped"] > 0 for r in late_events.period_counts(log, saved).collect()} == {True, False}
+
+
 # ---- heavy keys ----
 
 
