@@ -7,6 +7,7 @@ only after the sinks are.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -25,11 +26,15 @@ def file_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+NAME = re.compile(r"[A-Za-z0-9_.-]{1,128}")
+
+
 @dataclass
 class Consumer:
     """Handles a stream and writes each outcome below ``sink``: ``ok``, ``error`` and whatever else ``outcome`` yields.
 
-    ``outcome`` is a Column made when the batch runs; null is an error.
+    ``outcome`` is a Column made when the batch runs; null is an error. Every row is written under the name of its outcome: the outcomes that are not among
+    ``outcomes`` have a folder of their own each as well, made when one comes. Names are counted in each batch, so there should be few.
     """
 
     source: DataFrame
@@ -42,8 +47,12 @@ class Consumer:
     def handle(self, batch: DataFrame, number: int) -> None:
         done = batch.withColumn("outcome", F.coalesce(self.outcome(), F.lit("error"))).persist()
         try:
-            for name in self.outcomes:
+            met = {r["outcome"]: r["n"] for r in done.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+            for name in sorted({*self.outcomes, *met}):
+                if not NAME.fullmatch(name):
+                    raise ValueError(f"{name!r} is no name of an outcome")
                 done.where(F.col("outcome") == name).drop("outcome").write.mode("overwrite").parquet(f"{self.sink}/{name}/batch={number}")
+                self.counts[name] = self.counts.get(name, 0) + met.get(name, 0)
         finally:
             done.unpersist()
 

@@ -68,6 +68,15 @@ def test_a_repeated_batch_replaces_its_output(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/ok").count() == 15
 
 
+def test_every_outcome_is_written(spark, folder, tmp_path):
+    kinds = F.when(F.col("sequence") % 3 == 0, "parked").when(F.col("sequence") % 3 == 1, F.lit(None)).otherwise("ok")
+    consumer = runner.Consumer(None, lambda: kinds, f"{tmp_path}/out", f"{tmp_path}/state")
+    consumer.handle(spark.read.schema(SHORT).parquet(f"{folder}/a"), 1)
+    assert {n: spark.read.parquet(f"{tmp_path}/out/{n}").count() for n in ("ok", "error", "parked")} == {"ok": 7, "error": 7, "parked": 6} == consumer.counts
+    with pytest.raises(ValueError):
+        runner.Consumer(None, lambda: F.lit("../x"), f"{tmp_path}/out", f"{tmp_path}/state").handle(spark.read.schema(SHORT).parquet(f"{folder}/a"), 2)
+
+
 def collected(stream, tmp_path, name, mode="append"):
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
