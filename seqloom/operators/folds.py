@@ -1,74 +1,67 @@
 """Ordered folds: operators whose next state depends on all rows before.
 
-With ``carry`` a stream is all rows of a key: state goes over every segment border, and one task reads a key's rows. Without it a stream is
-read in segments of the log (``SEGMENT`` sequences); a fold starts anew in each segment, and what is open at its end is flushed, as when a
-reader reopens there. Rows are sorted by the engine and pass through the fold one Arrow batch at a time; no stream or segment is gathered.
+A stream is all rows of a combination of keys. Rows are sorted by the engine, which spills, and pass through the fold one Arrow batch at a time; no stream is
+gathered. The state is small and goes through the whole stream, so one task reads a stream's rows: give keys that split the log.
 
-Null order values are left out; ties of the order are taken in the order of the value columns; empty input gives no rows.
+Null order values are left out; ties of the order are taken in the order of the value columns; null keys are a stream of their own; empty input gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 16
 
+def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence", many: bool = False) -> DataFrame:
+    """(keys, order, out): each stream goes through a new step made by ``start``.
 
-def segment_of(order: str = "sequence") -> Column:
-    return F.floor(F.col(order) / F.lit(SEGMENT))
-
-
-def fold(rows: DataFrame, keys: dict[str, Column], values: dict[str, Column], start: Callable[[], Callable], out: dict[str, str], order: str = "sequence", rest: str = "", carry: bool = False) -> DataFrame:
-    """(keys, segment, sequence, out): each stream, a combination of keys, goes through a new step made by ``start``; without ``carry`` it ends with each segment.
-
-    ``step(order, *values)`` is called in order and returns the tuple of ``out`` (name -> type). With ``rest``, ``step.finish()`` is called at
-    the end of each stream and gives further tuples; they stand under the stream's last row, numbered from 1 in the column ``rest``, which is 0
-    for the rows' own tuples.
+    ``step(order, *values)`` is called in order and returns the tuple of ``out`` (name -> type). With ``many`` it returns any number of tuples, and
+    ``step.finish()``, called at the end of the stream, gives further ones; all stand under the last row that had come.
     """
-    names = [*keys, "segment", order, *values]
-    picked = rows.where(F.col(order).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), segment_of(order).alias("segment"), F.col(order), *(c.alias(k) for k, c in values.items()))
-    at = [*keys, "segment"]
-    ordered = (picked.repartition(*(keys if carry else at)) if keys or not carry else picked.coalesce(1)).sortWithinPartitions(*at, order, *values)
-    width = len(at)
-    of = len(keys) if carry else width
-    out = {rest: "bigint", **out} if rest else out
-    schema = ", ".join([*(f"{k} {picked.schema[k].dataType.simpleString()}" for k in [*at, order]), *(f"{k} {t}" for k, t in out.items())])
+    names = [*keys, order, *values]
+    picked = rows.where(F.col(order).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), F.col(order), *(c.alias(k) for k, c in values.items()))
+    ordered = (picked.repartition(*keys) if keys else picked.coalesce(1)).sortWithinPartitions(*names)
+    width = len(keys)
+    schema = ", ".join([*(f"{k} {picked.schema[k].dataType.simpleString()}" for k in [*keys, order]), *(f"{k} {t}" for k, t in out.items())])
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     result_types = [arrow[t] for t in out.values()]
 
-    def finished(place: tuple | None, step: Callable | None) -> list[tuple]:
-        return [(*place, i, *given) for i, given in enumerate(step.finish(), 1)] if rest and step else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, step, place, schema = None, None, None, None
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, step = None, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            made, late = [], []
-            for row in zip(*columns, strict=True):
-                if row[:of] != stream:
-                    late += finished(place, step)
-                    stream, step = row[:of], start()
-                place = row[: width + 1]
-                made.append((0, *step(*row[width:])) if rest else step(*row[width:]))
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != stream:
+                    stream, step = row[:width], start()
+                made.append(step(*row[width:]))
             results = list(zip(*made, strict=True)) or [()] * len(out)
-            arrays = [*batch.columns[: width + 1], *(pa.array(r, t) for r, t in zip(results, result_types, strict=True))]
-            yield (given := pa.RecordBatch.from_arrays(arrays, [*names[: width + 1], *out]))
-            schema = given.schema
-            if late:
-                yield _rows_of(late, schema)
-        if late := finished(place, step):
-            yield _rows_of(late, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], *(pa.array(r, t) for r, t in zip(results, result_types, strict=True))], [*names[: width + 1], *out])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, step, place, types = None, None, None, None
 
-    return ordered.mapInArrow(run, schema)
+        def given(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], [*names[: width + 1], *out])
 
+        for batch in batches:
+            made = []
+            types = types or [*(c.type for c in batch.columns[: width + 1]), *result_types]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != stream:
+                    made += [(*place, *x) for x in step.finish()] if step else []
+                    stream, step = row[:width], start()
+                place = row[: width + 1]
+                made += [(*place, *x) for x in step(*row[width:])]
+            if made:
+                yield given(made)
+        if step and (made := [(*place, *x) for x in step.finish()]):
+            yield given(made)
 
-def _rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    return ordered.mapInArrow(several if many else single, schema)
 
 
 def windows(size: int, wait_us: int) -> Callable[[], Callable]:
@@ -90,12 +83,14 @@ def windows(size: int, wait_us: int) -> Callable[[], Callable]:
 
 
 def bounded_memory(capacity: int) -> Callable[[], Callable]:
-    """De-duplication with a first-in, first-out memory of ids; seeing an id again doesn't refresh it. Gives whether the row is delivered."""
+    """De-duplication with a first-in, first-out memory of ids; seeing an id again doesn't refresh it. Gives whether the row is delivered; rows without id always are."""
 
     def start() -> Callable:
         seen: OrderedDict[str, None] = OrderedDict()
 
-        def step(_: int, id_: str) -> tuple[bool]:
+        def step(_: int, id_: str | None) -> tuple[bool]:
+            if id_ is None:
+                return (True,)
             if id_ in seen:
                 return (False,)
             seen[id_] = None
@@ -147,32 +142,34 @@ def grouped_requests(limit: int) -> Callable[[], Callable]:
     return start
 
 
-def deepest_lane(lanes: int, burst: int, capacity: int) -> Callable[[], Callable]:
-    """Depth-weighted lane service: stay on a lane for up to ``burst`` rows, then go to the deepest lane, the first of equals.
+def deepest_lane(lanes: int, capacity: int) -> Callable[[], Callable]:
+    """Depth-weighted lane service, with instant acks and buffers kept as full as they can be.
 
-    Rows enter as the buffers allow (``capacity`` rows wait in all); one is served for each that enters, with instant acks. Gives
-    the sequence served in the step; ``finish`` serves those that still wait at the end, by the same rule.
+    The lane served last keeps its turn while it has rows: a burst that reaches its maximum starts to count anew. Then the deepest lane is next, of equals the first
+    one behind the last. A row enters its lane at once where that holds fewer than ``capacity`` rows; else rows are served until it has room, and the rows behind
+    it wait. Gives (served, lane, position), position counting from 1; ``finish`` serves what waits at the end, by the same rule.
     """
 
     def start() -> Callable:
-        waiting: list[list[int]] = [[] for _ in range(lanes)]
-        last, served, held = 0, 0, 0
-
-        def serve() -> tuple[int, int]:
-            nonlocal last, served, held
-            if not waiting[last] or served >= burst:
-                last, served = max(range(lanes), key=lambda k: (len(waiting[k]), -k)), 0
-            served, held = served + 1, held - 1
-            return (waiting[last].pop(0), last)
-
-        def step(sequence: int, lane: int) -> tuple[int, int]:
-            nonlocal held
+        waiting: list[deque[int]] = [deque() for _ in range(lanes)]
+        last, position = 0, 0
+
+        def serve() -> tuple[int, int, int]:
+            nonlocal last, position
+            if not waiting[last]:
+                last = max(((last + i) % lanes for i in range(1, lanes + 1)), key=lambda k: len(waiting[k]))
+            position += 1
+            return (waiting[last].popleft(), last, position)
+
+        def step(sequence: int, lane: int) -> list[tuple[int, int, int]]:
+            served = []
+            while len(waiting[lane]) >= capacity:
+                served.append(serve())
             waiting[lane].append(sequence)
-            held += 1
-            return serve() if held > capacity else (-1, -1)
+            return served
 
-        def finish() -> Iterator[tuple[int, int]]:
-            while held:
+        def finish() -> Iterator[tuple[int, int, int]]:
+            while any(waiting):
                 yield serve()
 
         step.finish = finish

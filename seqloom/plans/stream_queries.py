@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import envelope as E
-from seqloom.functions.ids import uuid_key, uuid_text
+from seqloom.functions.ids import event_key_of, uuid_key, uuid_text
 from seqloom.operators import filters, folds, handlers, sinks, stateful, stores
 from seqloom.operators.filters import EventFilter
 from seqloom.operators.handlers import Route
@@ -42,10 +42,22 @@ def dedupe_against_store(spark: SparkSession, d: str) -> DataFrame:
     return stateful.against_store(rows(spark, d), table(spark, d, "dedupe")).select("sequence", "id")
 
 
-@add("dedupe_bounded")
+# repeats only: `skipped` holds the places of those left out so far; a repeat is left out if fewer than 1,000 rows were delivered since its event last was
+BOUNDED = f"""with recursive r as (select organization, sequence, row_number() over (partition by organization order by sequence) as rn, {uuid_sql('id')} as event from {ROWS}),
+o as (select *, list(rn) over (partition by organization, event order by rn rows between unbounded preceding and 1 preceding) as before from r where event is not null),
+c as (select *, row_number() over (partition by organization order by rn) as i from o where len(before) > 0),
+w as (select organization, 0::bigint as i, []::bigint[] as skipped from (select distinct organization from c)
+  union all
+  select w.organization, c.i, case when c.rn - 1 - len(w.skipped) - (list_max(list_filter(c.before, lambda x: not list_contains(w.skipped, x))) - len(list_filter(w.skipped, lambda x: x < list_max(list_filter(c.before, lambda y: not list_contains(w.skipped, y)))))) < 1000
+    then list_append(w.skipped, c.rn) else w.skipped end
+  from w join c on c.organization = w.organization and c.i = w.i + 1)
+select r.organization, r.sequence, not coalesce(list_contains(s.skipped, r.rn), false) as delivered from r left join (select organization, arg_max(skipped, i) as skipped from w group by organization) s using (organization)"""
+
+
+@add("dedupe_bounded", BOUNDED)
 def dedupe_bounded(spark: SparkSession, d: str) -> DataFrame:
     """Bounded first-in, first-out memory of 1,000 ids per organization."""
-    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, {"event": F.lower(F.hex(uuid_key(F.col("id"))))}, folds.bounded_memory(1000), {"delivered": "boolean"}, carry=True)
+    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, {"event": F.hex(event_key_of(F.col("id")))}, folds.bounded_memory(1000), {"delivered": "boolean"})
 
 
 # ---- monotone gate ----
@@ -99,18 +111,18 @@ def batch_cursor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("window_size_or_wait", f"""with recursive r as (
-  select event_key, sequence // 65536 as segment, sequence, epoch_us("timestamp") as us, row_number() over (partition by event_key, sequence // 65536 order by sequence) as rn from {ROWS}),
+  select event_key, sequence, epoch_us("timestamp") as us, row_number() over (partition by event_key order by sequence) as rn from {ROWS}),
 w as (
-  select event_key, segment, sequence, rn, 0::bigint as number, 1 as n, us as opened from r where rn = 1
+  select event_key, sequence, rn, 0::bigint as number, 1 as n, us as opened from r where rn = 1
   union all
-  select r.event_key, r.segment, r.sequence, r.rn,
+  select r.event_key, r.sequence, r.rn,
     w.number + (w.n >= 10 or r.us > w.opened + 21600000000)::integer,
     case when w.n >= 10 or r.us > w.opened + 21600000000 then 1 else w.n + 1 end,
     case when w.n >= 10 or r.us > w.opened + 21600000000 then r.us else w.opened end
-  from w join r on r.event_key = w.event_key and r.segment = w.segment and r.rn = w.rn + 1)
-select event_key, segment, sequence, number as window_no from w""")
+  from w join r on r.event_key = w.event_key and r.rn = w.rn + 1)
+select event_key, sequence, number as window_no from w""")
 def window_size_or_wait(spark: SparkSession, d: str) -> DataFrame:
-    """Micro-windows of 10 rows or 6 hours per event key and log segment, on event time."""
+    """Micro-windows of 10 rows or 6 hours per event key, on event time."""
     wait = 6 * 3600 * 1_000_000
     return folds.fold(rows(spark, d), {"event_key": F.col("event_key")}, {"us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.windows(10, wait), {"window_no": "bigint"})
 
@@ -498,20 +510,39 @@ def wire_decode_skip_poison(spark: SparkSession, d: str) -> DataFrame:
 def sqs_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of at most 10 entries and 256 KiB per partition, by the size of the wire text."""
     log = table(spark, d, "event_log").dropDuplicates(["sequence"]).select("sequence", "partition_id", F.octet_length(sinks.wire()).cast("bigint").alias("size"))
-    return folds.fold(log, {"partition_id": F.col("partition_id")}, {"size": F.col("size")}, folds.batches(10, 256 * 1024), {"batch": "bigint"}, carry=True)
+    return folds.fold(log, {"partition_id": F.col("partition_id")}, {"size": F.col("size")}, folds.batches(10, 256 * 1024), {"batch": "bigint"})
 
 
-@add("batch_writer_groups")
+@add("batch_writer_groups", f"""with recursive r as (select topic, sequence, octet_length(encode(event_key)) % 7 + 1 as n, row_number() over (partition by topic order by sequence) as rn from {ROWS}),
+w as (
+  select topic, sequence, rn, 0::bigint as flush, n as waiting from r where rn = 1
+  union all
+  select r.topic, r.sequence, r.rn, w.flush + (w.waiting >= 100)::integer, case when w.waiting >= 100 then r.n else w.waiting + r.n end from w join r on r.topic = w.topic and r.rn = w.rn + 1)
+select topic, sequence, flush from w""")
 def batch_writer_groups(spark: SparkSession, d: str) -> DataFrame:
     """Requests of 1 to 7 events gathered to flushes of at least 100, per topic."""
-    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"}, carry=True)
+    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"})
+
+
+# one step for each row served; a row enters as soon as fewer than 128 of its lane wait, and holds up those behind it until then
+LANES = f"""with recursive k as (select organization, sequence, (partition_id % 8)::integer as lane, row_number() over (partition by organization order by sequence) as rn from {ROWS} where partition_id is not null),
+q as (select organization, [{', '.join(f"coalesce(list(rn order by rn) filter (lane = {i}), []::bigint[])" for i in range(8))}] as lanes from k group by organization),
+w as (select organization, 0::bigint as position, 0 as last, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[] as served, 0::bigint as rn from q
+  union all
+  select organization, position + 1, pick, list_transform(range(1, 9), lambda l: served[l] + (l = pick + 1)::bigint), lanes[pick + 1][served[pick + 1] + 1] from (
+    select *, case when waiting[last + 1] > 0 then last else ((last + list_sort(list_transform(range(1, 9), lambda i: {{'d': -waiting[(last + i) % 8 + 1], 'i': i}}))[1].i) % 8)::integer end as pick from (
+      select *, list_transform(range(1, 9), lambda l: len(list_filter(lanes[l], lambda x: x < blocked)) - served[l]) as waiting from (
+        select w.*, q.lanes, list_min(list_transform(range(1, 9), lambda l: coalesce(q.lanes[l][w.served[l] + 129], 9000000000000000000))) as blocked from w join q on q.organization = w.organization)))
+  where list_sum(waiting) > 0)
+select organization, k.sequence, k.lane, w.position from w join k using (organization, rn)"""
 
 
-@add("lane_depth_weighted")
+@add("lane_depth_weighted", LANES)
 def lane_depth_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """Service of 8 lanes by depth, burst 8, with 128 rows of buffer, per organization; what waits at the end is served after the last row, in order of ``drained``."""
+    """Service of 8 lanes by depth, with room for 128 rows each, per organization."""
     lanes = rows(spark, d).where("partition_id is not null")
-    return folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 8, 128), {"served": "bigint", "served_lane": "int"}, rest="drained", carry=True)
+    made = folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 128), {"served": "bigint", "lane": "int", "position": "bigint"}, many=True)
+    return made.select("organization", F.col("served").alias("sequence"), "lane", "position")
 
 
 @add("writer_map", f"select sequence, topic || '.v' || version as topic from {ROWS}")

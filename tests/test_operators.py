@@ -266,7 +266,7 @@ def test_first_settlement_wins(spark):
 
 def run_fold(spark, values, start, out, kind="bigint"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values, 1)], f"sequence bigint, v {kind}")
-    return [tuple(r)[2:] for r in folds.fold(df, {}, {"v": F.col("v")}, start, out).orderBy("sequence").collect()]
+    return [tuple(r)[1:] for r in folds.fold(df, {}, {"v": F.col("v")}, start, out).orderBy("sequence").collect()]
 
 
 def test_windows(spark):
@@ -276,11 +276,11 @@ def test_windows(spark):
 
 def test_bounded_memory(spark):
     r = random.Random(6)
-    ids = [f"i{r.randrange(12)}" for _ in range(200)]
+    ids = [f"i{r.randrange(12)}" if r.randrange(9) else None for _ in range(200)]
     seen, want = OrderedDict(), []
     for x in ids:
         want.append((x not in seen,))
-        if x not in seen:
+        if x is not None and x not in seen:
             seen[x] = 1
             if len(seen) > 5:
                 seen.popitem(last=False)
@@ -292,58 +292,54 @@ def test_packing_and_requests(spark):
     assert run_fold(spark, [3, 3, 5, 1], folds.grouped_requests(6), {"f": "bigint"}) == [(0,), (0,), (1,), (1,)]
 
 
+def service(df, lanes, capacity, keys=()):
+    got = folds.fold(df, {k: F.col(k) for k in keys}, {"v": F.col("v")}, folds.deepest_lane(lanes, capacity), {"served": "bigint", "lane": "int", "position": "bigint"}, many=True)
+    return [(x["served"], x["lane"]) for x in got.orderBy(*keys, "position").collect()]
+
+
 def test_depth_weighted_lanes(spark):
-    got = run_fold(spark, [0, 1, 1, 1, 0, 0, 0], folds.deepest_lane(2, 2, 3), {"served": "bigint", "lane": "int"}, "int")
-    # three rows wait; lane 0 keeps its turn for row 5, which has come in meanwhile, then the deepest lane has two
-    assert got == [(-1, -1)] * 3 + [(1, 0), (5, 0), (2, 1), (3, 1)]
+    df = spark.createDataFrame(list(enumerate([0, 1, 1, 0, 1, 2, 2, 1], 1)), "sequence bigint, v int")
+    # row 5 finds lane 1 full: lane 0 keeps its turn until it is empty, then lane 1, the deepest, has its own; 8 waits for room once more
+    assert service(df, 3, 2) == [(1, 0), (4, 0), (2, 1), (3, 1), (5, 1), (8, 1), (6, 2), (7, 2)]
+    # of equals the first behind the last one served
+    df = spark.createDataFrame(list(enumerate([2, 1, 0, 0, 2, 1], 1)), "sequence bigint, v int")
+    assert service(df, 3, 9) == [(3, 0), (4, 0), (2, 1), (6, 1), (1, 2), (5, 2)]
 
 
-def test_lanes_are_drained_at_the_end(spark, monkeypatch):
-    monkeypatch.setattr(folds, "SEGMENT", 40)
+def test_every_row_of_a_lane_is_served_once_and_in_order(spark):
     r = random.Random(3)
-    data = [(i, "ab"[r.randrange(5) == 0], r.randrange(3)) for i in range(1, 101)]
-    df = spark.createDataFrame(data, "sequence bigint, k string, v int")
-    got = folds.fold(df, {"k": F.col("k")}, {"v": F.col("v")}, folds.deepest_lane(3, 4, 16), {"served": "bigint", "lane": "int"}, rest="drained").collect()
-    assert sorted((x["k"], x["served"], x["lane"]) for x in got if x["served"] != -1) == sorted((k, i, v) for i, k, v in data)
-    assert sorted(x["sequence"] for x in got if x["drained"] == 0) == [i for i, _, _ in data]
-    # three rows wait at the end of the stream that test_depth_weighted_lanes follows: the turn on lane 1 ends, then lane 0 is the deepest
-    df = spark.createDataFrame(list(enumerate([0, 1, 1, 1, 0, 0, 0], 1)), "sequence bigint, v int")
-    got = folds.fold(df, {}, {"v": F.col("v")}, folds.deepest_lane(2, 2, 3), {"served": "bigint", "lane": "int"}, rest="drained").where("drained > 0").orderBy("sequence", "drained")
-    assert [(x["drained"], x["served"], x["lane"]) for x in got.collect()] == [(1, 6, 0), (2, 7, 0), (3, 4, 1)]
-
-
-def test_folds_restart_in_segments_and_by_key(spark, monkeypatch):
-    monkeypatch.setattr(folds, "SEGMENT", 10)
-    df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)] + [(None, "a")], "sequence bigint, k string")
+    data = [(i, "ab"[r.randrange(5) == 0], r.randrange(3)) for i in range(1, 301)]
+    df = spark.createDataFrame(data, "sequence bigint, k string, v int").repartition(5)
+    got = service(df, 3, 16, ("k",))
+    assert sorted(got) == sorted((i, v) for i, _, v in data)
+    for k in "ab":
+        for lane in range(3):
+            assert [i for i, v in got if v == lane and (i, k, v) in data] == [i for i, x, v in data if x == k and v == lane]
+
+
+def test_folds_by_key_and_of_nothing(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)] + [(None, "a"), (7, None)], "sequence bigint, k string")
     got = folds.fold(df, {"k": F.col("k")}, {"v": F.col("sequence")}, folds.windows(2, 10**9), {"w": "bigint"})
-    assert got.count() == 40
-    assert {r["w"] for r in got.collect()} == {0, 1, 2}
+    assert got.count() == 41
+    assert {r["w"] for r in got.collect()} == set(range(10))
     assert folds.fold(df.where("false"), {"k": F.col("k")}, {"v": F.col("sequence")}, folds.windows(2, 9), {"w": "bigint"}).count() == 0
+    assert folds.fold(df.where("false"), {}, {"v": F.lit(0)}, folds.deepest_lane(2, 3), {"served": "bigint", "lane": "int", "position": "bigint"}, many=True).count() == 0
 
 
-def test_carried_folds_go_over_segment_borders(spark, monkeypatch):
-    monkeypatch.setattr(folds, "SEGMENT", 10)
+def test_folds_go_over_whole_streams(spark):
     data = [(i, "ab"[i % 3 == 0], f"i{(i * i) % 23}") for i in range(80)]
     df = spark.createDataFrame(data, "sequence bigint, k string, v string").repartition(7)
-    for make, kind, out, of in (
-        (folds.bounded_memory(6), "string", "boolean", lambda v: v), (folds.batches(4, 12), "bigint", "bigint", lambda v: len(v) * 2), (folds.grouped_requests(25), "bigint", "bigint", len),
-    ):
-        steps = {k: make() for k in "ab"}
-        want = [(k, i // 10, i, *steps[k](i, of(v))) for i, k, v in data]
-        value = F.col("v") if kind == "string" else (F.length("v") * (2 if of("xx") == 4 else 1)).cast("bigint")
-        got = folds.fold(df, {"k": F.col("k")}, {"v": value}, make, {"o": out}, carry=True)
-        assert [tuple(r) for r in got.orderBy("sequence").collect()] == want
-    got = folds.fold(df, {}, {"v": F.lit(0)}, folds.deepest_lane(1, 2, 8), {"served": "bigint", "lane": "int"}, rest="drained", carry=True).where("served >= 0").orderBy("sequence", "drained")
-    assert [r["served"] for r in got.collect()] == [i for i, _, _ in data]
-
-
-def test_bounded_memory_reaches_over_a_segment_border(spark, make_log, tmp_path):
-    from seqloom.plans import stream_queries
-
-    border = folds.SEGMENT
-    make_log(*({"sequence": n, "id": uid(e)} for n, e in ((border - 2, 1), (border - 1, 2), (border, 1), (border + 1, 3)))).write.parquet(f"{tmp_path}/event_log.parquet")
-    got = stream_queries.dedupe_bounded(spark, str(tmp_path)).orderBy("sequence")
-    assert [r["delivered"] for r in got.collect()] == [True, True, False, True]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")  # streams span batches
+    try:
+        for make, kind, out, of in (
+            (folds.bounded_memory(6), "string", "boolean", lambda v: v), (folds.batches(4, 12), "bigint", "bigint", lambda v: len(v) * 2), (folds.grouped_requests(25), "bigint", "bigint", len),
+        ):
+            steps = {k: make() for k in "ab"}
+            want = [(k, i, *steps[k](i, of(v))) for i, k, v in data]
+            value = F.col("v") if kind == "string" else (F.length("v") * (2 if of("xx") == 4 else 1)).cast("bigint")
+            assert [tuple(r) for r in folds.fold(df, {"k": F.col("k")}, {"v": value}, make, {"o": out}).orderBy("sequence").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # ---- handlers ----
