@@ -1,9 +1,10 @@
 """Schemas that drift between versions of one topic.
 
 Tagged-union inference: every input split fuses the schemas of its payloads into one union per topic and version, which keeps, per
-path, each alternative type with its count and a description of its values (sketches of the set and of the forms of texts,
-the range of numbers, the kinds of array elements). Unions are themselves fused, in rounds, into one per topic and version; fusing is
-associative and commutative, so the result doesn't depend on how payloads are split. Comparing the unions of neighbouring versions
+path, each alternative type with its count and a description of its values (sketches of the set, the forms and the words of texts, range and sample of
+numbers, the share of true, the kinds of array elements). Unions are themselves fused path by path, in rounds, into one per topic and version; fusing is
+associative and commutative, so the result doesn't depend on how payloads are split. A union leaves a split as one row for each path, so objects that use
+ids for names make many short rows and no wide union; only paths that are fields of their version go on. Comparing the unions of neighbouring versions
 reports the alternatives that appear and disappear; fields that go and come with like descriptions are renames. Reading back, a path
 with conflicting alternatives becomes typed branches plus its value converted to the canonical type.
 
@@ -44,8 +45,17 @@ of no more members is whole. Two are compared below the hash up to which both ar
 ALIKE = 0.6
 """Least likeness of two descriptions that makes a rename."""
 
+TRIM = 0.05
+"""Part of a sample of numbers left out at either end for its range, so that a few outliers don't make it."""
+
 FAN = 512
-"""Unions fused by one task of a round."""
+"""Splits whose unions of one path are fused together in the first round."""
+
+HELD = 50_000
+"""Paths held by a task that describes payloads; then what it has is handed on and it starts anew."""
+
+PLANS = 32 << 20
+"""Most bytes of the plans of all topics together that are sent to the workers; where they are longer, rows and plans meet by a join."""
 
 Union = dict
 
@@ -72,7 +82,7 @@ KINDS = {str: "string", bool: "boolean", int: "number", float: "number", dict: "
 
 @lru_cache(1 << 16)
 def form_of(text: str) -> str:
-    """Form of a text: its marks in order, the classes of its letters and digits, and its length up to 16."""
+    """Form of a text: its marks in order (by their hash where they are many), the classes of its letters and digits, and its length (by powers of two from 17 on)."""
     marks = re.sub(r"[^\W_]+", "", text)
     body = re.sub(r"[\W_]+", "", text)
     classes = "".join(
@@ -80,7 +90,7 @@ def form_of(text: str) -> str:
     )
     if "h" in classes:
         classes = "h"
-    return f"{marks[:16]}|{classes}|{min(len(text), 17)}"
+    return f"{marks if len(marks) <= 16 else _hash.__wrapped__(marks)}|{classes}|{len(text) if len(text) <= 16 else 16 + (len(text) - 1).bit_length()}"
 
 
 @lru_cache(1 << 16)
@@ -99,14 +109,25 @@ def _forms(text: str) -> tuple[str, str]:
 def _describe(value: object, kind: str, into: dict) -> None:
     into["n"] = into.get("n", 0) + 1
     if kind == "string":
-        form, rough = _forms(value) if len(value) < 200 else ("long", "long")
+        long = len(value) >= 200  # not worth a place in the caches
+        form, rough = (_forms.__wrapped__ if long else _forms)(value)
         _count(into, "set", value, SET)
         _count(into, "forms", form, FORMS)
         counts = into.setdefault("rough", {})
         counts[rough] = counts.get(rough, 0) + 1
+        if "s" in rough.partition("|")[0]:
+            for word in re.findall(r"\w+", value):
+                _count(into, "words", word, FORMS)
     elif kind == "number":
         into["lo"], into["hi"] = min(into.get("lo", value), value), max(into.get("hi", value), value)
         into["whole"] = into.get("whole", 0) + (isinstance(value, int) or value.is_integer())
+        sample, key = into.setdefault("sample", {}), _hash(repr(value))
+        if key not in sample and (len(sample) < FORMS or key < max(sample)):
+            sample[key] = value
+            if len(sample) > FORMS:
+                del sample[max(sample)]
+    elif kind == "boolean":
+        into["true"] = into.get("true", 0) + value
     elif kind == "array":
         for x in value:
             of = KINDS.get(type(x))
@@ -150,7 +171,7 @@ def observe(union: Union, found: dict | None, content_type: str | None) -> None:
                     _describe(x, of, paths.setdefault(f"{name}.{inner}", {}).setdefault(of, {}))
 
 
-LIMITS = {"set": SET, "forms": FORMS, "keys": FORMS}
+LIMITS = {"set": SET, "forms": FORMS, "keys": FORMS, "words": FORMS}
 
 
 def fuse(a: Union, b: Union) -> Union:
@@ -165,6 +186,10 @@ def fuse(a: Union, b: Union) -> Union:
                 x[v] = x.get(v, 0) + n
             for v in sorted(x)[LIMITS[k] :]:
                 del x[v]
+        elif k == "sample":
+            x |= y
+            for v in sorted(x)[FORMS:]:
+                del x[v]
         elif k == "lo":
             a[k] = min(x, y)
         elif k == "hi":
@@ -176,31 +201,54 @@ def fuse(a: Union, b: Union) -> Union:
     return a
 
 
-PART = "topic string, version bigint, lane int, union string"
-SCHEMA = pa.schema([("topic", pa.string()), ("version", pa.int64()), ("lane", pa.int32()), ("union", pa.string())])
+PART = "topic string, version bigint, path string, lane int, n bigint, union string"
+SCHEMA = pa.schema([("topic", pa.string()), ("version", pa.int64()), ("path", pa.string()), ("lane", pa.int32()), ("n", pa.int64()), ("union", pa.string())])
+
+
+def _parts(unions: dict[tuple, Union], lane: int) -> Iterator[pa.RecordBatch]:
+    """Unions as one row for each path, and one with null path for what counts for all: rows, readable ones and content types."""
+    rows = []
+    for (topic, version), union in unions.items():
+        place = {"topic": topic, "version": version, "lane": lane}
+        rows.append({**place, "path": None, "n": union.get("n", 0), "union": json.dumps({k: v for k, v in union.items() if k != "paths"})})
+        rows += [{**place, "path": p, "n": sum(d["n"] for d in kinds.values()), "union": json.dumps(kinds)} for p, kinds in union.get("paths", {}).items()]
+    for i in range(0, len(rows), 4096):
+        yield pa.RecordBatch.from_pylist(rows[i : i + 4096], SCHEMA)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    lane = TaskContext.get().partitionId() // FAN
     unions: dict[tuple, Union] = {}
     for batch in batches:
         for topic, version, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             observe(unions.setdefault((topic, version), {}), readable(payload, kind), kind)
-    lane = TaskContext.get().partitionId() // FAN
-    rows = [{"topic": t, "version": v, "lane": lane, "union": json.dumps(u)} for (t, v), u in unions.items()]
-    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+        if sum(len(u.get("paths", ())) for u in unions.values()) > HELD:
+            yield from _parts(unions, lane)
+            unions = {}
+    yield from _parts(unions, lane)
 
 
-def _fused(texts: pd.Series) -> str:
-    whole: Union = {}
-    for text in texts:
-        whole = fuse(whole, json.loads(text))
-    return json.dumps(whole)
+def _fused(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The unions of each path (and of one lane where ``lane`` is among the keys) fused into one. A task holds one at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, whole = None, 0, {}
+        done = lambda: dict(zip(keys, at, strict=True)) | {"n": n, "union": json.dumps(whole)}
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                here = tuple(row[k] for k in keys)
+                if here != at:
+                    rows += [{"lane": 0} | done()] if at is not None else []
+                    at, n, whole = here, 0, {}
+                n, whole = n + row["n"], fuse(whole, json.loads(row["union"]))
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([{"lane": 0} | done()], SCHEMA)
 
-def _round(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"topic": part.topic.iloc[:1], "version": part.version.iloc[:1], "lane": 0, "union": [_fused(part["union"])]})
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PART)
 
 
 def payload_rows(log: DataFrame) -> DataFrame:
@@ -210,10 +258,25 @@ def payload_rows(log: DataFrame) -> DataFrame:
 
 
 def unions(rows: DataFrame) -> DataFrame:
-    """One union per topic and version: (topic, version, union as JSON text)."""
-    parts = rows.select("topic", "version", "content_type", "payload").mapInArrow(_infer, PART)
-    parts = parts.groupBy("topic", "version", "lane").applyInPandas(_round, PART)
-    return parts.groupBy("topic", "version").applyInPandas(_round, PART).drop("lane")
+    """(topic, version, path, n, union as JSON text): a union per topic and version, one row for each field and one with null path for the whole."""
+    scratch = Scratch(rows.sparkSession, "drift")
+    place = ["topic", "version"]
+    parts = rows.select(*place, "content_type", "payload").mapInArrow(_infer, PART)
+    whole = scratch.keep(_fused(_fused(parts, [*place, "path", "lane"]), [*place, "path"]).drop("lane"), "unions")
+    total = whole.where("path is null").select(*place, F.col("n").alias("total"))
+    return whole.join(total, place).where(F.col("path").isNull() | (F.col("n") >= SHARE * F.col("total"))).drop("total")
+
+
+def _assembled(part: pd.DataFrame) -> list[tuple[int, Union]]:
+    """(version, union) of one topic, in order of version."""
+    out: dict[int, Union] = {}
+    for version, path, text in zip(part.version, part.path, part["union"], strict=True):
+        union = out.setdefault(int(version), {})
+        if isinstance(path, str):
+            union.setdefault("paths", {})[path] = json.loads(text)
+        else:
+            union |= json.loads(text)
+    return sorted(out.items())
 
 
 # ---- comparison of two versions ----
@@ -241,10 +304,25 @@ def _complete(a: dict, b: dict, name: str) -> tuple[dict, dict]:
 
 
 def _forms_alike(a: dict, b: dict) -> float:
-    """Overlap of the forms; texts whose form was seen once and in one of the two only count by their rough form, since most forms of free text are new."""
+    """Overlap of the forms; texts whose form was seen once and in one of the two only count by their rough form and, if of several words, by their words, since most forms of free text are new."""
     x, y = _complete(a, b, "forms")
     new = min((sum(n for k, n in of.items() if n == 1 and k not in other) / max(1, sum(of.values()))) for of, other in ((x, y), (y, x)))
-    return _overlap(x, y) + new * _overlap(a["rough"], b["rough"])
+    free = _overlap(a["rough"], b["rough"])
+    if a.get("words") and b.get("words"):
+        free = min(free, _overlap(*_complete(a, b, "words")))
+    return _overlap(x, y) + new * free
+
+
+def _ranges_alike(a: tuple, b: tuple) -> float:
+    both, either = min(a[1], b[1]) - max(a[0], b[0]), max(a[1], b[1]) - min(a[0], b[0])
+    return 1.0 if not either else max(0.0, both / either)
+
+
+def _middle(sample: dict) -> tuple:
+    """Range of a sample of numbers without its ends."""
+    values = sorted(sample.values())
+    cut = int(len(values) * TRIM)
+    return values[cut], values[-1 - cut]
 
 
 def likeness(kind: str, a: dict, b: dict) -> float:
@@ -255,10 +333,9 @@ def likeness(kind: str, a: dict, b: dict) -> float:
     if kind == "number":
         if (a["whole"] >= 0.9 * a["n"]) != (b["whole"] >= 0.9 * b["n"]):
             return 0.0
-        both, either = min(a["hi"], b["hi"]) - max(a["lo"], b["lo"]), max(a["hi"], b["hi"]) - min(a["lo"], b["lo"])
-        return 1.0 if not either else max(0.0, both / either)
+        return max(_ranges_alike((a["lo"], a["hi"]), (b["lo"], b["hi"])), _ranges_alike(_middle(a["sample"]), _middle(b["sample"])))
     if kind == "boolean":
-        return 1.0
+        return 1.0 - abs(a["true"] / a["n"] - b["true"] / b["n"])
     if kind == "object":
         x, y = _complete(a, b, "keys") if a.get("keys") and b.get("keys") else ({}, {})
         return len(x.keys() & y.keys()) / max(1, len(x.keys() | y.keys()))
@@ -293,6 +370,8 @@ def changes(old: Union, new: Union) -> list[tuple[str, str, str]]:
             for g in right:
                 if was[f][0] == now[g][0]:
                     alike = likeness(was[f][0], was[f][1], now[g][1])
+                    if was[f][0] == "boolean" and f.rpartition(".")[2] == g.rpartition(".")[2]:
+                        alike = 1.0  # moved under its own name; two values tell little
                     if alike >= ALIKE:
                         scored.append((round(alike, 1) + 0.5 * _named_alike(f, g), f, g))
         for _, f, g in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
@@ -314,8 +393,7 @@ CHANGES = "topic string, version bigint, change string, field string, new_field
 
 
 def _compare(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("version")
-    seen = [(v, json.loads(u)) for v, u in zip(part.version, part["union"], strict=True)]
+    seen = _assembled(part)
     rows = [(part.topic.iloc[0], v, *change) for (_, old), (v, new) in zip(seen, seen[1:], strict=False) for change in changes(old, new)]
     return pd.DataFrame(rows, columns=["topic", "version", "change", "field", "new_field"])
 
@@ -323,7 +401,7 @@ def _compare(part: pd.DataFrame) -> pd.DataFrame:
 def schema_changes(log: DataFrame) -> DataFrame:
     """(topic, version, change, field, new_field): changes against the next lower version that the topic has.
 
-    A topic's unions, one per version, are compared in one task; their size follows from the schema, not from the rows.
+    A topic's unions, one per version, are compared in one task; they hold fields only, so their size follows from the schema, not from the rows.
     """
     return unions(payload_rows(log)).groupBy("topic").applyInPandas(_compare, CHANGES)
 
@@ -336,8 +414,7 @@ TABLE = f"sequence bigint, topic string, version bigint, content_type string, fi
 
 def _plan(part: pd.DataFrame) -> pd.DataFrame:
     """For each version the latest name of each field, and for each latest name the canonical type. An old name that lagging writers still use in later versions is renamed there too, unless it is a field of that version."""
-    part = part.sort_values("version")
-    seen = [(int(v), json.loads(u)) for v, u in zip(part.version, part["union"], strict=True)]
+    seen = _assembled(part)
     names: dict[int, dict[str, str]] = {}
     later: dict[str, str] = {}
     renames: list[tuple[int, dict[str, str]]] = []
@@ -381,7 +458,16 @@ def _branches(value: object, kind: str, canonical: str) -> dict:
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(known: object | None):
+    """Function that reads payloads back; ``known`` is a broadcast of topic -> plan, without it the plan comes with each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _read(batches, known.value if known is not None else None)
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch], known: dict[str, str] | None) -> Iterator[pa.RecordBatch]:
     value = pa.struct([("tag", pa.string()), ("text", pa.string()), ("number", pa.float64()), ("truth", pa.bool_()), ("json", pa.string()), ("canonical", pa.string())])
     schema = pa.schema([("sequence", pa.int64()), ("topic", pa.string()), ("version", pa.int64()), ("content_type", pa.string()), ("fields", pa.map_(pa.string(), value))])
     plans: dict[str, dict] = {}
@@ -392,7 +478,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 continue
             if r["topic"] not in plans:
-                plans[r["topic"]] = json.loads(r["plan"])
+                plans[r["topic"]] = json.loads(known[r["topic"]] if known is not None else r["plan"])
             plan = plans[r["topic"]]
             names = plan["names"].get(str(r["version"]), {})
             flat: dict[str, object] = {}
@@ -417,6 +503,12 @@ def consistent_table(log: DataFrame) -> DataFrame:
     ``fields`` maps a field's latest name to its tag (the type it had), the typed branch that holds it and its value converted to the field's
     latest type (null where that fails).
     """
-    rows = Scratch(log.sparkSession, "drift").keep(payload_rows(log), "payloads")
-    plans = unions(rows).groupBy("topic").applyInPandas(_plan, "topic string, plan string")
-    return skew_safe_lookup(rows, plans, "topic").select("sequence", "topic", "version", "content_type", "payload", "plan").mapInArrow(_read, TABLE)
+    spark = log.sparkSession
+    scratch = Scratch(spark, "drift")
+    rows = scratch.keep(payload_rows(log), "payloads")
+    plans = scratch.keep(unions(rows).groupBy("topic").applyInPandas(_plan, "topic string, plan string"), "plans")
+    columns = ["sequence", "topic", "version", "content_type", "payload"]
+    if (plans.agg(F.sum(F.octet_length("topic") + F.octet_length("plan"))).head()[0] or 0) <= PLANS:
+        known = spark.sparkContext.broadcast({r["topic"]: r["plan"] for r in plans.collect()})
+        return rows.select(*columns).mapInArrow(_reader(known), TABLE)
+    return skew_safe_lookup(rows, plans, "topic").select(*columns, "plan").mapInArrow(_reader(None), TABLE)

@@ -330,6 +330,38 @@ def test_renames_do_not_depend_on_the_number_of_rows(n):
     assert schema_drift.changes(old, new) == [("added", "now", ""), ("removed", "was", "")]
 
 
+def renames(was, now, n=400):
+    old, new = union_of({"was": was(i)} for i in range(n)), union_of({"now": now(i)} for i in range(n))
+    return [c for c, _, _ in schema_drift.changes(old, new)] == ["renamed"]
+
+
+def test_evidence_of_renames():
+    r = random.Random(8)
+    law = lambda i: " ".join(r.choices(["party", "shall", "hereby", "liable", "clause", "Agreement"], k=60))
+    stack = lambda i: " ".join(f"at {r.choice(['java', 'org', 'io'])}.{r.choice(['Main', 'Run'])}({r.randrange(99)})" for _ in range(30))
+    assert renames(law, law) and renames(stack, stack) and not renames(law, stack)
+    assert renames(lambda i: i % 50 + 0.5, lambda i: 1e9 if i == 7 else i % 50 + 0.25)
+    assert not renames(lambda i: i % 50 + 0.5, lambda i: 1000.5 + i % 50)
+    assert renames(lambda i: i % 9 == 0, lambda i: i % 8 == 0) and not renames(lambda i: i % 9 == 0, lambda i: i % 9 != 0)
+
+
+def test_ids_as_names_make_no_fields(make_log, monkeypatch):
+    monkeypatch.setattr(schema_drift, "HELD", 50)
+    r = random.Random(8)
+    old = [(1, json.dumps({"by": {f"u{r.randrange(10**9)}": 1, "all": i}, "a": "x"}), "j") for i in range(200)]
+    new = [(2, json.dumps({"by": {f"u{r.randrange(10**9)}": 1}, "a": 5}), "j") for i in range(200)]
+    log = versions(make_log, *old, *new).repartition(5)
+    assert {tuple(r)[2:] for r in schema_drift.schema_changes(log).collect()} == {("retyped", "a", ""), ("removed", "by.all", "")}
+    assert schema_drift.unions(schema_drift.payload_rows(log)).count() == 7
+
+
+def test_plans_too_long_to_send_are_joined(make_log, monkeypatch):
+    log = versions(make_log, *[(v, json.dumps({n: i}), "j") for v, n in ((1, "qty"), (2, "amount")) for i in range(20)])
+    sent = rows(schema_drift.consistent_table(log))
+    monkeypatch.setattr(schema_drift, "PLANS", 0)
+    assert rows(schema_drift.consistent_table(log)) == sent and len(sent) == 40
+
+
 def test_consistent_table(make_log):
     log = versions(make_log, (1, '{"qty":3,"u":{"z":"a"}}', "application/json"), (2, '{"qty":"4"}', "application/json"), (2, '{"qty":"x"}', "application/json"), (2, "nothing", "application/json"))
     got = {r["sequence"]: r["fields"] for r in schema_drift.consistent_table(log).collect()}
