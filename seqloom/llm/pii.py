@@ -17,15 +17,16 @@ from seqloom.llm.names import PARTICLES, NameModel
 # ---- email ----
 
 LOCAL, HOST = r"[A-Za-z0-9](?:[\w.+'-]*[\w+-])?", r"[A-Za-z0-9](?:[\w-]*\w)?"
-EMAIL_LOCAL = re.compile(rf"(?<![\w.+'-]){LOCAL}$|{LOCAL}$")
+LOCAL_RUN = re.compile(r"[\w.+'-]+\Z")
 EMAIL_HOST = re.compile(rf"@{HOST}(?:\.{HOST})*\.[A-Za-z]{{2,}}(?![\w@])")
+FOREIGN_HOST = re.compile(r"@[^\W_](?:[\w-]*\w)?(?:\.[^\W_](?:[\w-]*\w)?)*\.[^\W\d_]{2,}(?![\w@])")
 DISGUISES = [" at ", " AT ", "[at]", "[AT]", "(at)", "(AT)", "{at}", "<at>", "[@]", "(@)", "%40", "&#64;", "&commat;"]
 AT = r"(?: ?(?:\[at\]|\(at\)|\{at\}|<at>|\[@\]|\(@\)) ?| at |%40|&#64;|&commat;)"
 SPELLED = r"(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot )"
 DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]) ?| dot )"
 DISGUISED = re.compile(rf"(?P<local>{LOCAL}(?:{SPELLED}{LOCAL})*)(?:(?P<plain> at )|{AT})(?P<host>{HOST}(?:{DOT}{HOST})*{DOT}[A-Za-z]{{2,}})(?![\w@])", re.I)
 NOBODY = re.compile(r"(?:no[-_.]?reply|do[-_.]?not[-_.]?reply|mailer-daemon|postmaster|bounces?|notifications?|[\w.-]*\bbot)(?:[+._-].*)?$", re.I)
-LOGIN_BEFORE = re.compile(r"(?:://[^\s@]*|\b(?:ssh|scp|sftp|rsync)\s+(?:-\S+\s+)*)$")
+LOGIN_COMMANDS = {"ssh", "scp", "sftp", "rsync"}
 LOGIN_AFTER = re.compile(r":(?!\s)[\w~/]")
 OPENED = re.compile(r"(?:[<(\[:=\"'“]\s*|\b(?:mail|email|e-mail|contact|from|by|to|write to|reach)\s)$", re.I)
 
@@ -38,6 +39,7 @@ NATIONAL = re.compile(
     r"|\(?0\d{1,4}\)?[ /-]\d{3,4}[ -]?\d{3,5}"  # area code, number
     r"|0\d{2,5}/\d{4,9}"
     r"|0\d(?:[ .]\d{2}){4}"  # pairs
+    r"|00[1-9]\d{0,2}[ .-](?:\(0\))?\d{1,5}(?:[ ./-]\d{2,5}){1,5}"  # international, dialled
 )
 PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(0\))?(?:[ ./-]?\(?\d{1,5}\)?){1,6}|" + NATIONAL.pattern)
 """International with prefix, or one of the national forms."""
@@ -55,7 +57,7 @@ CAP = r"[A-ZÀ-ÖØ-ÞĀ-ſ][\w'’-]*\.?"
 TOWN = rf"{CAP.replace(chr(92) + '.?', '')}(?:[ -](?:(?:del|de|la|los|las|le|les|du|des|am|an der|im|in der|bei|sur|sous|upon|on|under|y|d['’])[ -]){{0,2}}(?:{CAP.replace(chr(92) + '.?', '')}))*"
 STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Way|Row|Close|Court|Ct|Terrace|Ter|Boulevard|Blvd|Avenue|Ave|Drive|Dr|Place|Pl|Square|Sq|Crescent|Cres|Gardens|Gdns|Grove|Hill|Mews|Walk|Parade|Quay|Alley|Wharf|Highway|Hwy|Parkway|Pkwy|Circle|Cir|Trail|Green|Rise|Yard)"
 FLAT = r"(?:, (?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Room|No\.?|#) ?\d*[A-Za-z]?)?"
-ENGLISH = rf"\d{{1,5}}[a-z]?(?:[-/]\d+)? (?:{CAP} ){{1,4}}{STREET}\b(?:\.(?=[,\"']|$))?{FLAT}(?:, {TOWN}(?:,? \d{{5}}(?!\d))?)?"
+ENGLISH = rf"\d{{1,5}}[A-Za-z]?(?:[-/]\d+)? (?:{CAP} ){{1,4}}{STREET}\b(?:\.(?=[,\"']|$))?{FLAT}(?:, {TOWN}(?:,? \d{{5}}(?!\d))?)?"
 GERMAN_STREET = r"(?:[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|str\.|weg|gasse|ring|allee|platz|damm|ufer|steig|pfad|chaussee|markt|hof|berg|graben)|[A-ZÄÖÜ][\wäöüß-]*(?:er|en|es)? (?:Straße|Strasse|Str\.|Weg|Gasse|Ring|Allee|Platz|Damm|Ufer|Steig|Pfad|Chaussee|Markt|Graben)|(?:Am|An der|An den|Auf der|Auf dem|Unter den|Unter der|Im|In der|In den|Zum|Zur|Hinter der|Hinter dem|Vor dem|Bei der|Beim) (?:[A-ZÄÖÜ][\wäöüß]+[ -]?){1,3})"
 GERMAN = rf"{GERMAN_STREET} ?\d{{1,4}}[a-z]?(?:[-–/]\d+[a-z]?)?\b(?:, \d{{5}} {TOWN}|, {TOWN})?"
 FRENCH_STREET = r"(?:rue|place|impasse|avenue|av\.|chemin|boulevard|bd|allée|allee|quai|cours|passage|square|route|ruelle|sentier|villa|cité|faubourg)"
@@ -75,7 +77,7 @@ WITHIN = [
     " rue ", " place ", " impasse ", " avenue ", " chemin ", " boulevard ", " bd ", " allée ", " quai ", " cours ", " passage ", " square ", " route ", " ruelle ",
 ]
 """Endings of German street names and French kinds of street; a line with one of them is looked at."""
-PLACED = re.compile(r"(?:ship_to|address|addr|street|adresse|anschrift|direccion|dirección)[\"']?\s*[:=]\s*(?P<q>[\"'])(?P<v>[^\"\n]*\d[^\"\n]*?)(?P=q)|INSERT INTO \w+ VALUES \(\d+, '[^'\n]*@[^'\n]*', '(?P<w>[^\n]*\d[^\n]*?)'\);?", re.I)
+PLACED = re.compile(r"(?:(?:ship|bill|send|deliver)_?to|address|addr|street|adresse|anschrift|direccion|dirección)[\"']?\s*[:=]\s*(?P<q>[\"'])(?P<v>[^\"\n]*\d[^\"\n]*?)(?P=q)|\bVALUES ?\((?:[^'\n]|'(?:[^'\n]|'')*'(?= ?,))*'(?P<w>(?:(?!' ?[,)])[^\n])*)' ?\)", re.I)
 
 # ---- names in places where only a person can stand ----
 
@@ -84,11 +86,13 @@ NAME_WORD = rf"{LETTER}(?:[^\W\d_]|['’])*(?:-{LETTER}[^\W\d_]*)*\.?"
 PARTICLE = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )?"
 FULL = rf"{NAME_WORD}(?: {PARTICLE}{NAME_WORD}){{1,3}}|{PARTICLE}{NAME_WORD}, {NAME_WORD}"
 TRAILERS = r"(?:[A-Z][a-z]+(?:-[a-z]+)*-by|Author|Committer|Co-authored-by|From|Cc|To|Reply-To|maintainer|owner|Thanks-to)"
+ROLES = "applicant|author|assignee|candidate|client|contact|customer|employee|member|owner|patient|person|recipient|resident|reviewer|signatory|subscriber|tenant|user"
+"""Names of calls whose text is a person (fixed values)."""
 PLACE = re.compile(
     rf"(?<![^\r\n])[ \t+-]*{TRAILERS}: *(?P<a>{FULL})(?= *(?:<|\r|\n|$))|Copyright (?:\(c\)|©) \d{{4}}(?:-\d{{4}})?,? (?P<b>{FULL})(?= *(?:\r|\n|$))"
-    rf"|@author (?P<c>{FULL})(?= *(?:\r|\n|<|$))|\bTODO\((?P<d>{FULL})\)|\"name\": \"(?P<e>{FULL})\"|\bapplicant\(\"(?P<f>{FULL})\""
+    rf"|@author (?P<c>{FULL})(?= *(?:\r|\n|<|$))|\bTODO\((?P<d>{FULL})\)|\"name\": \"(?P<e>{FULL})\"|\b(?:{ROLES})\(\"(?P<f>{FULL})\""
 )
-PLACES = ["-by: ", "Author: ", "Committer: ", "From: ", "Cc: ", "To: ", "maintainer: ", "owner: ", "Thanks-to: ", "Copyright ", "@author ", "TODO(", '"name": ', "applicant("]
+PLACES = ["-by: ", "Author: ", "Committer: ", "From: ", "Cc: ", "To: ", "maintainer: ", "owner: ", "Thanks-to: ", "Copyright ", "@author ", "TODO(", '"name": ', *(f'{role}("' for role in ROLES.split("|"))]
 ROBOT = re.compile(r"\b(?:bot|robot|ci|sync|build|release|format|nightly|automation|pipeline|team|group|inc|ltd|gmbh|project|authors|contributors)\b|\[bot\]", re.I)
 
 BINARY = re.compile(r"GIT binary patch[\s\S]*?(?=[\r\n]diff --git|\Z)")
@@ -174,23 +178,54 @@ def _lines_with(text: str, words: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _before(text: str, end: int, pattern: re.Pattern) -> str:
+    """What ``pattern``, which takes a run of characters up to the end, finds right before ``end``; however long, and in time in proportion to its length."""
+    size = 64
+    while True:
+        start = max(0, end - size)
+        m = pattern.search(text[start:end])
+        if m is None:
+            return ""
+        if m.start() or not start:
+            return m.group()
+        size *= 4
+
+
+WORD_RUN = re.compile(r"[^\s@]+\Z")
+SPACE_RUN = re.compile(r"[ \t]+\Z")
+TOKEN_RUN = re.compile(r"\S+\Z")
+
+
+def _is_login(text: str, start: int) -> bool:
+    """Whether what starts here stands in the user's place of a network address or of a command that logs in."""
+    if "://" in _before(text, start, WORD_RUN):
+        return True
+    while space := _before(text, start, SPACE_RUN):
+        word = _before(text, start - len(space), TOKEN_RUN)
+        if not word.startswith("-"):
+            return re.search(r"\w*\Z", word).group() in LOGIN_COMMANDS
+        start -= len(space) + len(word)
+    return False
+
+
 def _emails(text: str) -> list[tuple[int, int, str]]:
     out = []
     at = text.find("@")
     while at >= 0:
         here, at = at, text.find("@", at + 1)
-        if not here or not (text[here - 1].isalnum() or text[here - 1] in "_+-") or not (host := EMAIL_HOST.match(text, here)):
+        if not here or not (text[here - 1].isalnum() or text[here - 1] in "_+-"):
             continue
-        before = text[max(0, here - 200) : here]
-        local = EMAIL_LOCAL.search(before)
-        if not local:
+        host, first = EMAIL_HOST.match(text, here), "[A-Za-z0-9]"
+        if host is None:
+            host, first = FOREIGN_HOST.match(text, here), r"[^\W_]"
+        if host is None or not (local := re.search(first, run := _before(text, here, LOCAL_RUN))):
             continue
-        a, b = here - len(local.group()), host.end()
-        before = before[: local.start()]
-        name = local.group()
-        if NOBODY.match(name) or LOGIN_BEFORE.search(before) or name == "git" or before.endswith(("@", "/")):
+        name = run[local.start() :]
+        a, b = here - len(name), host.end()
+        before = text[a - 1 : a] if a else ""
+        if NOBODY.match(name) or name == "git" or before in ("@", "/") or _is_login(text, a):
             continue
-        if LOGIN_AFTER.match(text, b) and not before.endswith("mailto:"):
+        if LOGIN_AFTER.match(text, b) and text[max(0, a - 7) : a] != "mailto:":
             continue
         out.append((a, b, "email"))
     return out

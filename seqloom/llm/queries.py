@@ -41,13 +41,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors")).select("doc_id", "kind", "value")
+    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors"), privacy.key_of(spark)).select("doc_id", "kind", "value")
 
 
 @registry.add("p9_items")
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """The items with the surrogates they are exchanged for."""
-    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors"))
+    return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors"), privacy.key_of(spark))
 
 
 @registry.add("p9_redacted")
@@ -57,4 +57,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("p9_surrogates")
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.disguised(table(spark, d, "documents"), table(spark, d, "contributors"))
+    return privacy.disguised(table(spark, d, "documents"), table(spark, d, "contributors"), privacy.key_of(spark))

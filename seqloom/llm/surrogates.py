@@ -1,10 +1,13 @@
 """Keyed, type-consistent replacements for personal items.
 
-Every replacement is a keyed permutation of the item's own form: digits go to digits, letters to letters of the same case and the same sound class (vowel,
+Every replacement is a keyed permutation of the item's own form: digits go to digits, letters to letters of the same script, case and sound class (vowel,
 consonant), separators stay. Within a form that is one to one, so different items stay different, and one item gets the same replacement
 wherever it stands, in any case or order of its parts, so who is who can still be followed. A name's parts are exchanged for parts of other
-names of the same ending class, which keeps gender and script. What is left to check is that a replacement is no item of its own text and no two items of a text
-share one; where they would, the item is permuted again under the next key.
+names of the same last letter (or, for rare ones, the same sound class of it), which is all that a list of names tells of gender.
+
+A replacement that equals its item, another item or another replacement is not taken: the item is permuted again under the next key, and after ``TWEAKS`` keys it gets
+a sealed placeholder, its kind and a keyed code. So nothing is ever left as it was. What it must differ from is the caller's to say: one text's items (:meth:`Surrogates.of`)
+or the whole corpus's (``privacy.assigned``).
 """
 
 from __future__ import annotations
@@ -19,6 +22,15 @@ from seqloom.llm.names import NameModel, parts
 from seqloom.llm.pii import STREET
 
 VOWELS = "aeiou"
+OTHER_VOWELS = set("аеёиоуыэюяіїєαεηιουωæøœıəɨ")
+"""Vowels of further alphabets (fixed values)."""
+
+EVERYDAY = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA)]
+"""Ranges of the letters in daily use of Greek, Cyrillic and Hebrew (fixed values); they are exchanged among themselves."""
+
+TWEAKS = 8
+"""Keys tried for one item."""
+
 KEPT_WORDS = re.compile(rf"^(?:{STREET}|Flat|Apt|Unit|Suite|Calle|C|Avda|Avenida|Paseo|Plaza|Straße|Str|Weg|Gasse|Ring|Allee|Platz|Am|Unter|Auf|Alt|Bad|Port|Little|Upper)$")
 STREET_ENDING = re.compile(r"(straße|strasse|str|weg|gasse|ring|allee|platz|damm|ufer)$")
 
@@ -69,11 +81,28 @@ class Surrogates:
             low = base[0].lower()
             new = vowels.get(low) or others.get(low)
             if new is None:
-                out.append(c)
+                out.append(self._foreign(c, tweak))
             else:
                 out.append(unicodedata.normalize("NFC", (new.upper() if base[0].isupper() else new) + base[1:]))
         return "".join(out)
 
+    def _foreign(self, c: str, tweak: object) -> str:
+        """A letter of another alphabet goes to one of the same letters in daily use, or block of 256 characters, of the same category and sound class; everything else stays."""
+        if not c.isalpha():
+            return c
+        low = c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c
+        at = next((x for x in EVERYDAY if x[0] <= ord(low) <= x[1]), (ord(low) & ~0xFF, ord(low) | 0xFF))
+        new = self._alphabet(at, unicodedata.category(low), low in OTHER_VOWELS, tweak).get(low, low)
+        return new.upper() if low != c else new
+
+    @lru_cache(1024)  # noqa: B019
+    def _alphabet(self, at: tuple[int, int], category: str, vowel: bool, tweak: object) -> dict[str, str]:
+        letters = [c for c in map(chr, range(at[0], at[1] + 1)) if unicodedata.category(c) == category and not unicodedata.decomposition(c)]
+        letters = [c for c in letters if at in EVERYDAY or not any(a <= ord(c) <= b for a, b in EVERYDAY)]
+        if category == "Ll":
+            letters = [c for c in letters if len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c and c not in "abcdefghijklmnopqrstuvwxyz"]
+        return self._order(f"{at} {category} {vowel} {tweak}", [c for c in letters if (c in OTHER_VOWELS) == vowel])
+
     @lru_cache(64)  # noqa: B019
     def _sounds(self, tweak: object) -> tuple[dict, dict]:
         return self._order(f"vowels{tweak}", list(VOWELS)), self._order(f"others{tweak}", list("bcdfghjklmnpqrstvwxyz"))
@@ -138,32 +167,63 @@ class Surrogates:
         new = iter(change(re.sub(r"\D", "", value)))
         return "".join(next(new) if c.isdigit() else c for c in value)
 
+    def candidate(self, kind: str, value: str, hint: str = "", tweak: int = 0) -> str | None:
+        """The replacement under the ``tweak``-th key; None where it would be the value itself. ``hint`` is the given name that an initial stands for."""
+        if kind == "name":
+            words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", value)
+            known = {f"{hint[0]}|{words[-1]}": self._word(hint, False, 0)[0]} if hint and words else {}
+            new = self.name(value, known, tweak)
+        else:
+            new = self._permute(kind, value, tweak)
+        return new if new != value else None
+
+    def sealed(self, kind: str, value: str, hint: str = "") -> str:
+        """Placeholder of an item that no permutation of its form hides."""
+        return f"[{kind.upper()}-{hmac.new(self._key, repr(('sealed', kind, value, hint)).encode(), hashlib.sha256).hexdigest()[:20]}]"
+
     def of(self, items: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
-        """Replacement of each (kind, value) of one text."""
-        known: dict[str, str] = {}
-        for kind, value in items:
-            if kind == "name" and len(words := re.findall(r"[^\W\d_]+", value)) > 1 and len(words[0]) > 1 and "," not in value:
-                known[f"{words[0][0]}|{words[-1]}"] = self._word(words[0], False, 0)[0]
+        """Replacement of each (kind, value) of one text, apart from all its items and from each other."""
+        hints = hints_of(items)
         own = {v for _, v in items}
         out: dict[tuple[str, str], str] = {}
         used: set[str] = set()
         for kind, value in items:
-            for tweak in range(50):
-                new = self.name(value, known, tweak) if kind == "name" else self._permute(kind, value, tweak)
-                if new not in own and new not in used:
-                    break
+            hint = hints.get(value, "") if kind == "name" else ""
+            tries = (self.candidate(kind, value, hint, tweak) for tweak in range(TWEAKS))
+            new = next((x for x in tries if x is not None and x not in own and x not in used), None) or self.sealed(kind, value, hint)
             out[kind, value] = new
             used.add(new)
         return out
 
 
+def hints_of(items: list[tuple[str, str]]) -> dict[str, str]:
+    """For names of one text that give an initial (``R. Holmvale``): the given name that a full form in the text has for it."""
+    full: dict[tuple[str, str], str] = {}
+    for kind, value in items:
+        words = re.findall(r"[^\W\d_]+", value)
+        if kind == "name" and len(words) > 1 and len(words[0]) > 1 and "," not in value:
+            full.setdefault((words[0][0], words[-1]), words[0])
+    out = {}
+    for kind, value in items:
+        words = re.findall(r"[^\W\d_]+", value)
+        if kind == "name" and len(words) > 1 and len(words[0]) == 1 and (words[0], words[-1]) in full:
+            out[value] = full[words[0], words[-1]]
+    return out
+
+
 class _Exchange:
     """Exchanges the parts of name words one to one, endings within their class."""
 
     def __init__(self, order, label: str, heads: set[str], tails: set[str]):
         self._heads = order(f"{label} heads", sorted(heads))
-        soft = sorted(t for t in tails if t[-1] in VOWELS)
-        self._tails = order(f"{label} soft", soft) | order(f"{label} hard", sorted(tails - set(soft)))
+        by: dict[str, list[str]] = {}
+        for t in sorted(tails):
+            by.setdefault(t[-1], []).append(t)
+        rare = [t for ts in by.values() if len(ts) == 1 for t in ts]
+        groups = [ts for ts in by.values() if len(ts) > 1] + [[t for t in rare if (t[-1] in VOWELS) == soft] for soft in (True, False)]
+        self._tails: dict[str, str] = {}
+        for i, group in enumerate(groups):
+            self._tails |= order(f"{label} tails {i}", group)
 
     def __call__(self, word: str) -> str | None:
         for i in range(2, len(word) - 1):

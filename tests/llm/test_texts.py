@@ -224,6 +224,45 @@ def test_surrogates_follow_a_person():
     assert soft[-1] in "aeiou" and given[-1] not in "aeiou"
 
 
+def test_surrogates_leave_nothing_as_it_was():
+    s = Surrogates("k", NameModel(PEOPLE))
+    items = [("name", n) for n in ("Иван Петров", "王伟", "Øø", "Γιώργος Παπαδόπουλος", "محمد", "Rivvik", "X")] + [("address", f"Am {i}") for i in range(10)]
+    new = s.of(items)
+    assert all(new[i] != i[1] for i in items) and len(set(new.values())) == len(items) and not set(new.values()) & {v for _, v in items}
+    assert re.fullmatch("[А-Я][а-я]{3} [А-Я][а-я]{5}", new["name", "Иван Петров"]) and len(new["name", "王伟"]) == 2
+    # ten addresses of one digit leave no permutation free
+    assert all(re.fullmatch(r"\[ADDRESS-[0-9a-f]{20}\]", new[i]) for i in items[7:])
+
+
+def test_one_surrogate_in_the_whole_corpus(spark):
+    texts = [f"call +1 617-555-{i:04d} or {100 + i}-55-{i:04d}; mail kes.{i}@mail.example or ask Rivvik Holmvale, R. Holmvale" for i in range(60)]
+    df = docs(spark, *texts, *texts[:7])
+    got = privacy.personal_items(df, people_table(spark), "k").collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["kind"], r["value"]), set()).add(r["surrogate"])
+    assert len(by) == 60 * 3 + 2 and all(len(v) == 1 for v in by.values())
+    new = [next(iter(v)) for v in by.values()]
+    assert len(set(new)) == len(new) and not set(new) & {v for _, v in by}
+    masked = sorted(r["text"] for r in privacy.disguised(df, people_table(spark), "k").collect())
+    assert len(masked) == 67 and not any("Holmvale" in t or "mail.example" in t for t in masked)
+    assert len(set(masked)) == 60 and all(any(n in t for n in new) for t in masked)
+
+
+def test_detection_has_no_reach():
+    d = Detector(PEOPLE)
+    found = lambda t: [(k, t[a:b]) for a, b, k in d.spans(t)]
+    for n in (5, 63, 64, 250, 5000):
+        assert found(f"see https://user:{'p' * n}@host.example/x") == []
+        assert found(f"see {'p' * n}@host.example now") == [("email", f"{'p' * n}@host.example")]
+        assert found(f"ssh {'-v ' * n}{'p' * n}@host.example") == []
+    assert found("lives at 221B Baker Street, London") == [("address", "221B Baker Street, London")]
+    assert found("call 0044 20 7946 0958 now") == [("phone", "0044 20 7946 0958")]
+    assert found("пишите: почта@пример.рф") == [("email", "почта@пример.рф")]
+    assert found('reviewer("Nobody Inparticular")') == [("name", "Nobody Inparticular")]
+    assert found("INSERT INTO t VALUES (7, 'x', '58 bis chemin d'Orvin, 27122 Bourg'), (8, 'y', 'z');") == [("address", "58 bis chemin d'Orvin, 27122 Bourg")]
+
+
 def people_table(spark, names=PEOPLE):
     return spark.createDataFrame([(i, n) for i, n in enumerate([*names, None])], "contributor_id bigint, full_name string")
 
@@ -232,13 +271,13 @@ def test_item_columns_and_texts(spark):
     text = "Hi Kesdan,\n call 030/23125646 or 030/23125646. -- Rivvik Holmvale\r\n"
     df = docs(spark, text, None, "", "  ", "nothing here").withColumn("kind", F.lit("clash"))
     df = df.unionByName(df.where("doc_id = 0"))
-    assert sorted(tuple(r)[:3] for r in privacy.personal_items(df, people_table(spark)).collect()) == [(0, "name", "Kesdan"), (0, "name", "Rivvik Holmvale"), (0, "phone", "030/23125646")]
+    assert sorted(tuple(r)[:3] for r in privacy.personal_items(df, people_table(spark), "k").collect()) == [(0, "name", "Kesdan"), (0, "name", "Rivvik Holmvale"), (0, "phone", "030/23125646")]
     clean = {r["doc_id"]: r["text"] for r in privacy.redacted(df, people_table(spark)).collect()}
     assert clean == {0: "Hi [NAME],\n call [PHONE] or [PHONE]. -- [NAME]\r\n", 1: None, 2: "", 3: "  ", 4: "nothing here"}
-    masked = {r["doc_id"]: r["text"] for r in privacy.disguised(df, people_table(spark)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in privacy.disguised(df, people_table(spark), "k").collect()}
     assert masked[4] == "nothing here" and "Kesdan" not in masked[0] and masked[0].endswith("\r\n")
-    assert privacy.personal_items(df.where("false"), people_table(spark)).count() == 0
-    assert [r["kind"] for r in privacy.personal_items(df, people_table(spark, [])).collect()] == ["phone"]
+    assert privacy.personal_items(df.where("false"), people_table(spark), "k").count() == 0
+    assert [r["kind"] for r in privacy.personal_items(df, people_table(spark, []), "k").collect()] == ["phone"]
 
 
 # ---- queries ----
@@ -254,5 +293,5 @@ def test_queries_run_on_stored_tables(spark, data):
 def test_no_item_is_left_in_redacted_texts(spark, data):
     """What is found once is gone from the redacted text."""
     clean = queries.registry.queries["p9_redacted"](spark, data)
-    again = privacy.personal_items(clean, spark.read.parquet(f"{data}/contributors.parquet"))
+    again = privacy.personal_items(clean, spark.read.parquet(f"{data}/contributors.parquet"), "k")
     assert again.count() == 0
