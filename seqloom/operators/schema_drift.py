@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -121,11 +122,9 @@ def _describe(value: object, kind: str, into: dict) -> None:
     elif kind == "number":
         into["lo"], into["hi"] = min(into.get("lo", value), value), max(into.get("hi", value), value)
         into["whole"] = into.get("whole", 0) + (isinstance(value, int) or value.is_integer())
-        sample, key = into.setdefault("sample", {}), _hash(repr(value))
-        if key not in sample and (len(sample) < FORMS or key < max(sample)):
-            sample[key] = value
-            if len(sample) > FORMS:
-                del sample[max(sample)]
+        sample, key = _sketch(into, "sample"), f"{crc32(repr(value).encode()):08x}"
+        if key not in sample:
+            _put(sample, key, value, FORMS)
     elif kind == "boolean":
         into["true"] = into.get("true", 0) + value
     elif kind == "array":
@@ -138,16 +137,39 @@ def _describe(value: object, kind: str, into: dict) -> None:
             _count(into, "keys", k, FORMS)
 
 
+class Sketch(dict):
+    """Counts of the members of least hash, which remembers the greatest hash of a full one."""
+
+    top = ""
+
+
+def _sketch(into: dict, name: str) -> Sketch:
+    found = into.get(name)
+    if not isinstance(found, Sketch):
+        found = into[name] = Sketch(found or {})
+        found.top = max(found, default="")
+    return found
+
+
+def _put(counts: Sketch, key: str, value: object, most: int) -> None:
+    """A member that isn't there yet, if it is among the ``most`` of least hash."""
+    if len(counts) < most:
+        counts[key] = value
+        if key > counts.top:
+            counts.top = key
+    elif key < counts.top:
+        del counts[counts.top]
+        counts[key] = value
+        counts.top = max(counts)
+
+
 def _count(into: dict, name: str, value: str, most: int) -> None:
-    counts = into.setdefault(name, {})
+    counts = _sketch(into, name)
     key = _hash(value) if len(value) < 200 else _hash.__wrapped__(value)  # long texts are not kept
     if key in counts:
         counts[key] += 1
-    elif len(counts) < most:
-        counts[key] = 1
-    elif key < (last := max(counts)):
-        del counts[last]
-        counts[key] = 1
+    else:
+        _put(counts, key, 1, most)
 
 
 def observe(union: Union, found: dict | None, content_type: str | None) -> None:
