@@ -2,9 +2,10 @@
 
 Level-wise frontier joins: the roots are the first frontier; each round joins the links not yet used with the frontier of the
 round before, which extends paths and depths by one. A round writes both halves of its join, the new frontier and the links
-still open, so links leave the loop as soon as they are placed and the whole loop moves each link few times. When a frontier
-stays empty the links still open are exactly the nodes that no root reaches: cycles and what hangs below them. Their cycle is found by doubling
-the links of those nodes alone.
+still open, so links leave the loop as soon as they are placed and the whole loop moves each link few times. What is still open after ``DEEP``
+levels hangs on long chains: these are contracted, each open node's pointer going twice as far up in every round until it stands on a placed node, so that a chain of a
+million links takes twenty rounds and no level of its own. The links that stay open are exactly the nodes that no root reaches: cycles and what hangs below them. Their
+cycle is found by doubling the links of those nodes alone. Pointers may all lead to one node; the joins on them split such a node's rows.
 
 Defined results: a null link makes a root, and so does a link to an id that no event has; an event that is its own parent is a
 cycle of one; repeated rows and redeliveries count once (first rows); empty tables give empty results.
@@ -24,6 +25,9 @@ from seqloom.operators.lookup import HOT, skew_safe_lookup
 from seqloom.plans.scratch import Scratch
 from seqloom.sources.tables import first_rows
 
+DEEP = 16
+"""Levels placed by frontier joins before long chains are contracted."""
+
 SMALL = 10_000
 """A frontier of no more entries (times its paths' length) goes to the links, some 100 KB, instead of both to a shuffle; and no more open links than
 this are finished in one task, since by then levels are many and nearly empty."""
@@ -55,13 +59,53 @@ class Hierarchy:
         # after this many doublings every pointer stands on a cycle, and low covers a whole turn of it
         for _ in range(max(1, math.ceil(math.log2(total)) + 1)):
             ahead = step.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("low").alias("least"))
-            step = self.scratch.keep(step.join(ahead, "to").select("node", F.col("far").alias("to"), F.least("low", "least").alias("low")), "step")
+            step = self.scratch.keep(skew_safe_lookup(step, ahead, "to", total=total).select("node", F.col("far").alias("to"), F.least("low", "least").alias("low")), "step")
         turn = step.select(F.col("node").alias("to"), F.col("low").alias("cycle_low"))
         ring = step.select(F.col("to").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
-        out = step.join(turn, "to").select("node", F.col("cycle_low").alias("low")).join(ring, "node", "left")
+        out = skew_safe_lookup(step, turn, "to", total=total).select("node", F.col("cycle_low").alias("low")).join(ring, "node", "left")
         return out.select("node", "low", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
+def _contracted(rest: DataFrame, above: DataFrame, left: int, paths: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(placed, open links) of the links ``rest`` below the frontier ``above`` (parent, root, depth, path where asked for).
+
+    A pointer that stands on a node of the frontier is done. A round in which no pointer gets there is the last: a node further down would have one above it that did.
+    """
+    seeds = scratch.keep(above.join(rest.select("parent").distinct(), "parent", "left_semi").withColumnRenamed("parent", "to"), "seeds")
+    here = seeds.select("to", F.lit(True).alias("done"))
+    first = rest.select("node", F.col("parent").alias("to"), F.lit(1).alias("dist"))
+    step = scratch.keep(skew_safe_lookup(first, here, "to", "left", total=left).withColumn("done", F.coalesce("done", F.lit(False))), "step")
+    rounds, waiting = 0, step.where("not done").count()
+    while waiting:
+        step = scratch.keep(_further(step, waiting, []), "step")
+        rounds, before, waiting = rounds + 1, waiting, step.where("not done").count()
+        if waiting == before:
+            break
+    lost = step.where("not done").select("node")
+    open_links = scratch.keep(rest.join(lost, "node", "left_semi"), "open")
+    found = step.where("done")
+    if paths:  # only now, when what hangs on cycles is known and left out, since its paths would never end
+        along = first.join(found.select("node"), "node", "left_semi").withColumn("path_", F.array("node"))
+        step = scratch.keep(skew_safe_lookup(along, here, "to", "left", total=left).withColumn("done", F.coalesce("done", F.lit(False))), "step")
+        for _ in range(rounds):
+            if not (waiting := step.where("not done").count()):
+                break
+            step = scratch.keep(_further(step, waiting, ["path_"]), "step")
+        found = step
+    met = skew_safe_lookup(found, seeds, "to", total=left)
+    path = [F.concat("path", "path_").alias("path")] if paths else []
+    return scratch.keep(met.select("node", "root", (F.col("depth") + F.col("dist")).alias("depth"), *path), "level"), open_links
+
+
+def _further(step: DataFrame, waiting: int, path: list[str]) -> DataFrame:
+    """Pointers that are not done go on by what the node they stand on has covered."""
+    ahead = step.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("dist").alias("more"), F.col("done").alias("there"), *(F.col(c).alias("upper") for c in path))
+    moved = skew_safe_lookup(step.where("not done").drop("done"), ahead, "to", total=waiting)
+    longer = [F.concat("upper", c).alias(c) for c in path]
+    moved = moved.select("node", F.col("far").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), *longer, F.col("there").alias("done"))
+    return step.where("done").unionByName(moved)
+
+
 def _remaining_levels(rest: DataFrame, above: DataFrame, paths: bool) -> DataFrame:
     """(node, parent, root, depth, path where asked for, hit): the levels of the open links, one after the other from the frontier ``above`` down.
 
@@ -115,6 +159,10 @@ def build(links: DataFrame, scratch: Scratch, *, paths: bool = False) -> Hierarc
     while left and front:
         above = places[-1].withColumnRenamed("node", "parent")
         last = left <= SMALL
+        if not last and deep > DEEP:
+            placed, rest = _contracted(rest, above, left, paths, scratch)
+            places.append(placed)
+            break
         if last:  # what is open is counted and few: all further levels in one task
             both = _remaining_levels(rest, above, paths)
         elif front * (deep if paths else 1) <= SMALL:  # a counted, bounded frontier: the links need not move at all

@@ -401,8 +401,9 @@ def test_places_paths_and_cycles(spark, make_log, monkeypatch):
     assert rows(hierarchy.cycles(log)) == [(4, 4, True), (5, 5, True), (6, 5, True), (7, 5, False)]
 
 
-@pytest.mark.parametrize(("hot", "small"), [(100_000, 10_000), (3, 10_000), (3, 0), (100_000, 20)])
-def test_random_forests(spark, make_log, monkeypatch, hot, small):
+@pytest.mark.parametrize(("hot", "small", "deep"), [(100_000, 10_000, 16), (3, 10_000, 16), (3, 0, 16), (100_000, 20, 16), (100_000, 0, 1), (3, 0, 0)])
+def test_random_forests(spark, make_log, monkeypatch, hot, small, deep):
+    monkeypatch.setattr(hierarchy, "DEEP", deep)
     monkeypatch.setattr(lookup, "HOT", hot)
     monkeypatch.setattr(hierarchy, "HOT", hot)
     monkeypatch.setattr(hierarchy, "SMALL", small)
@@ -429,6 +430,21 @@ def test_random_forests(spark, make_log, monkeypatch, hot, small):
         assert paths[i] == (None if len(trail) == 99 else "/".join(map(str, reversed(trail))))
 
 
+def test_a_long_chain_and_a_hot_cycle(spark, monkeypatch):
+    """A chain of 50,000 links and 200,000 nodes below one that is its own parent; the pointers of those all lead to it."""
+    monkeypatch.setattr(lookup, "HOT", 20_000)
+    monkeypatch.setattr(hierarchy, "DEEP", 2)
+    chain, loop = 50_000, 1_000_000
+    links = spark.range(chain + 1).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    links = links.unionByName(spark.range(loop, loop + 200_001).select(F.col("id").alias("node"), F.lit(loop).cast("bigint").alias("parent")))
+    tree = hierarchy.build(links, hierarchy.Scratch(spark, "test"))
+    got = tree.reached.agg(F.count("*"), F.max("depth"), F.sum((F.col("depth") == F.col("node")).cast("int")), F.max("root")).head()
+    assert tuple(got) == (chain + 1, chain, chain + 1, 0)
+    lost = tree.cyclic().agg(F.count("*"), F.min("low"), F.max("low"), F.sum(F.col("on_cycle").cast("int"))).head()
+    assert tuple(lost) == (200_001, loop, loop, 1)
+    assert tree.reached._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 5
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.tree_places(spark.createDataFrame([], LOG)).count() == 0
     assert hierarchy.tree_paths(spark.createDataFrame([], LOG)).count() == 0
