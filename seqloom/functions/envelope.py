@@ -87,3 +87,29 @@ def is_object(payload: Column) -> Column:
 def backoff_ms(attempt: Column, base: float = 100, multiplier: float = 2.0, most: float = 30_000) -> Column:
     """Delay after a failed attempt: grows by the multiplier up to the most."""
     return F.least(F.lit(float(base)) * F.pow(F.lit(float(multiplier)), attempt - 1), F.lit(float(most)))
+
+
+def encoded_cursor(cursor_id: Column, kind: Column, position: Column) -> Column:
+    """A cursor as a struct of id, kind, order bytes and payload (JSON in base64), in a form that any reader can store."""
+    payload = F.base64(F.to_json(F.struct(position.alias("sequence"))))
+    return F.struct(cursor_id.alias("id"), kind.alias("kind"), order_bytes(position).alias("order"), payload.alias("payload"))
+
+
+def cursor_error(cursor: Column, kind: str) -> Column:
+    """Why an encoded cursor can't be used by a reader of this kind; null where it can."""
+    text = F.decode(F.try_to_binary(cursor["payload"], F.lit("base64")), "UTF-8")
+    said = F.try_variant_get(F.try_parse_json(text), "$.sequence", "bigint")
+    wrong = F.concat(F.lit(f"expected cursor kind {kind}, got "), F.coalesce(cursor["kind"], F.lit("none")))
+    return F.when(~F.coalesce(cursor["kind"] == kind, F.lit(False)), wrong).when(said.isNull(), "cursor payload is unreadable")
+
+
+def decoded_cursor(cursor: Column, kind: str) -> Column:
+    """The position of an encoded cursor of this kind; null where :func:`cursor_error` tells why not."""
+    text = F.decode(F.try_to_binary(cursor["payload"], F.lit("base64")), "UTF-8")
+    return F.when(cursor["kind"] == kind, F.try_variant_get(F.try_parse_json(text), "$.sequence", "bigint"))
+
+
+def payload_text(payload: Column, content_type: Column) -> Column:
+    """A payload as text: base64 undone for binary content; null where that fails."""
+    raw = F.try_to_binary(F.regexp_replace(payload, r"\s", ""), F.lit("base64"))
+    return F.when(content_type == "application/octet-stream", F.try_validate_utf8(raw.cast("string"))).otherwise(payload)

@@ -59,3 +59,11 @@ def event_key_of(col: Column) -> Column:
 def is_blank(col: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return col.isNull() | ~col.rlike(r"\S")
+
+
+def uuid7(ts: Column, *seed: Column) -> Column:
+    """A UUID of version 7: the milliseconds of a time, then digits that follow from the ``seed``, so that one made again is the same."""
+    digits = F.md5(F.concat_ws(":", *(s.cast("string") for s in seed)))
+    variant = F.substr(F.lit("89ab"), F.conv(F.substring(digits, 4, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    ms = F.lpad(F.lower(F.hex(F.unix_millis(ts.cast("timestamp")))), 12, "0")
+    return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(digits, 1, 3), F.lit("-"), variant, F.substring(digits, 5, 3), F.lit("-"), F.substring(digits, 8, 12))

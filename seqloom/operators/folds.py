@@ -8,6 +8,7 @@ Null order values are left out; ties of the order are taken in the order of the
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
@@ -123,14 +124,18 @@ def batches(entries: int, size: int) -> Callable[[], Callable]:
     return start
 
 
-def grouped_requests(limit: int) -> Callable[[], Callable]:
-    """Requests of several events gathered until at least ``limit`` events wait; a request is never split, so a flush may exceed it."""
+def grouped_requests(limit: int, wait_us: int | None = None) -> Callable[[], Callable]:
+    """Requests of several events gathered until at least ``limit`` events wait, or ``wait_us`` after the first of them came; a request is never split, so a flush may exceed the limit."""
 
     def start() -> Callable:
-        number, waiting = 0, 0
+        number, waiting, opened = 0, 0, 0
 
-        def step(_: int, n: int) -> tuple[int]:
-            nonlocal number, waiting
+        def step(_: int, n: int, us: int = 0) -> tuple[int]:
+            nonlocal number, waiting, opened
+            if waiting and wait_us is not None and us > opened + wait_us:
+                number, waiting = number + 1, 0
+            if not waiting:
+                opened = us
             here = number
             waiting += n
             if waiting >= limit:
@@ -176,3 +181,42 @@ def deepest_lane(lanes: int, capacity: int) -> Callable[[], Callable]:
         return step
 
     return start
+
+
+def flushes(count: int, interval_us: int) -> Callable[[], Callable]:
+    """Checkpoints of acks that are flushed at every ``count``-th one or at the first that comes ``interval_us`` after the first that waits; at the end what waits is flushed.
+
+    Gives (position, cause), the greatest position acked since the last flush; for acks in any order.
+    """
+
+    def start() -> Callable:
+        waiting, first, top = 0, 0, 0
+
+        def step(_: int, position: int, us: int) -> list[tuple[int, str]]:
+            nonlocal waiting, first, top
+            first, top, waiting = (us, position, 1) if not waiting else (first, max(top, position), waiting + 1)
+            cause = "count" if waiting >= count else "interval" if us - first >= interval_us else None
+            if cause:
+                waiting = 0
+            return [(top, cause)] if cause else []
+
+        step.finish = lambda: [(top, "end")] if waiting else []
+        return step
+
+    return start
+
+
+def permits(count: int) -> Callable[[], Callable]:
+    """A limit of rows in flight: each takes the permit that is free first, and starts when it has come and has the permit. Gives the start."""
+
+    def start() -> Callable:
+        free = [-(1 << 62)] * count
+
+        def step(_: int, us: int, takes_us: int) -> tuple[int]:
+            began = max(us, heapq.heappop(free))
+            heapq.heappush(free, began + takes_us)
+            return (began,)
+
+        return step
+
+    return start

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.envelope import backoff_ms, rfc3339
-from seqloom.functions.ids import event_key_of
+from seqloom.functions.ids import event_key_of, uuid7
 from seqloom.operators.filters import Filter, column, settled
+from seqloom.operators.sinks import wire
 
 
 def handled(rows: DataFrame, ok: Column, *, only: Filter | None = None, duration_ms: Column | None = None, timeout_ms: int | None = None) -> DataFrame:
@@ -26,18 +27,32 @@ def handled(rows: DataFrame, ok: Column, *, only: Filter | None = None, duration
     return rows.withColumn("outcome", outcome)
 
 
-def attempts(rows: DataFrame, succeeds_at: Column, most: int = 3) -> DataFrame:
-    """One row per attempt: ``attempt``, its ``state`` (ok, retry or dead_letter) and the delay after it.
+def attempts(rows: DataFrame, succeeds_at: Column, most: int = 3, policy: Column | None = None) -> DataFrame:
+    """One row per attempt: ``attempt``, its ``state`` (ok, retry, dead_letter or skip) and the delay after it.
 
-    ``succeeds_at`` is the attempt that would succeed; null for never.
+    ``succeeds_at`` is the attempt that would succeed; null for never. ``policy`` tells what is done with a row's failure, by its kind: ``retry`` (the default, also for null)
+    until the attempts are used up, ``dead_letter`` or ``skip`` at once. All ends but retry are acknowledged.
     """
     if most < 1:
         raise ValueError("at least one attempt")
-    last = F.least(F.coalesce(succeeds_at, F.lit(most + 1)), F.lit(most)).cast("int")
-    each = rows.withColumn("_at", succeeds_at).select("*", F.explode(F.sequence(F.lit(1), last)).alias("attempt"))
-    state = F.when(F.col("attempt") == F.col("_at"), "ok").when(F.col("attempt") >= most, "dead_letter").otherwise("retry")
+    action = F.coalesce(policy, F.lit("retry")) if policy is not None else F.lit("retry")
+    last = F.when(action == "retry", F.least(F.coalesce(succeeds_at, F.lit(most + 1)), F.lit(most))).otherwise(F.lit(1)).cast("int")
+    each = rows.withColumn("_at", succeeds_at).withColumn("_do", action).select("*", F.explode(F.sequence(F.lit(1), last)).alias("attempt"))
+    state = F.when(F.col("attempt") == F.col("_at"), "ok").when(F.col("_do") != "retry", F.col("_do")).when(F.col("attempt") >= most, "dead_letter").otherwise("retry")
     delay = F.when(state == "retry", backoff_ms(F.col("attempt")))
-    return each.withColumn("state", state).withColumn("delay_ms", delay).drop("_at")
+    return each.withColumn("state", state).withColumn("delay_ms", delay).drop("_at", "_do")
+
+
+def decoded(rows: DataFrame, good: Column, disposition: str = "ack") -> DataFrame:
+    """``rows`` with ``readable`` and ``settlement``: what a decoding reader does with a row it can't decode before it reports the error.
+
+    ``surface`` leaves the row to the caller (null), ``ack`` drops it for good, ``nack`` gives it back. Readable rows are the handler's to settle (null).
+    """
+    if disposition not in ("surface", "ack", "nack"):
+        raise ValueError(f"{disposition} is no disposition")
+    readable = settled(good)
+    kept = F.lit(None).cast("string") if disposition == "surface" else F.when(~readable, disposition)
+    return rows.withColumn("readable", readable).withColumn("settlement", kept)
 
 
 def final_state(rows: DataFrame, succeeds_at: Column, most: int = 3) -> DataFrame:
@@ -47,12 +62,12 @@ def final_state(rows: DataFrame, succeeds_at: Column, most: int = 3) -> DataFram
 
 
 def dead_letters(rows: DataFrame, handler: str, attempts: Column, error: Column, failed_at: Column) -> DataFrame:
-    """Dead-letter events of failed rows: topic with ``.dead_letter`` behind, the original as parent, its correlation but not its causation, no
-    metadata; the payload tells the original event, handler, attempts, error and time."""
-    original = F.struct("id", "organization", "namespace", "topic", F.col("event_key").alias("key"), "payload", "content_type", rfc3339(F.col("timestamp")).alias("timestamp"), "version", "parent_id", "correlation_id", "causation_id")
-    payload = F.struct(original.alias("original_event"), F.col("id").alias("original_event_id"), F.lit(handler).alias("handler_id"), attempts.alias("attempts"), error.alias("error"), rfc3339(failed_at).alias("failed_at"))
+    """Dead-letter events of failed rows: an id of their own, topic with ``.dead_letter`` behind, the original as parent, its correlation but not its causation, no
+    metadata; the payload tells the original event in its wire form, handler, attempts, error and time. The id follows from the original, handler and attempt, so a
+    repeated failure of one attempt is one dead letter."""
+    payload = F.struct(F.parse_json(wire()).alias("original_event"), F.col("id").alias("original_event_id"), F.lit(handler).alias("handler_id"), attempts.alias("attempts"), error.alias("error"), rfc3339(failed_at).alias("failed_at"))
     return rows.select(
-        "organization", "namespace", F.concat("topic", F.lit(".dead_letter")).alias("topic"), "event_key", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"), F.lit("application/json").alias("content_type"),
+        uuid7(failed_at, F.col("id"), F.lit(handler), attempts).alias("id"), "organization", "namespace", F.concat("topic", F.lit(".dead_letter")).alias("topic"), "event_key", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"), F.lit("application/json").alias("content_type"),
         F.create_map().cast("map<string,string>").alias("metadata"), failed_at.alias("timestamp"), F.lit(1).cast("bigint").alias("version"), F.col("id").alias("parent_id"), "correlation_id", F.lit(None).cast("string").alias("causation_id"),
     )
 
@@ -88,6 +103,13 @@ def unmatched(rows: DataFrame, routes: Sequence[Route]) -> DataFrame:
     return rows.where(F.size(matching(routes)) == 0)
 
 
+def unmatched_outcome(rows: DataFrame, routes: Sequence[Route], policy: str = "ack") -> DataFrame:
+    """Rows that no route takes, with ``outcome``: acked, or with the policy ``error`` refused as handler_error."""
+    if policy not in ("ack", "error"):
+        raise ValueError(f"{policy} is no policy")
+    return unmatched(rows, routes).withColumn("outcome", F.lit("ack" if policy == "ack" else "handler_error"))
+
+
 def remaining(deliveries: DataFrame, completions: DataFrame) -> DataFrame:
     """Deliveries (id, subscriber_id) not yet completed; ids are compared as UUIDs."""
     done = completions.select(event_key_of(F.col("event_id")).alias("_e"), "subscriber_id").where("_e is not null and subscriber_id is not null").distinct()

@@ -75,6 +75,22 @@ def laned(rows: DataFrame, lane: Column) -> DataFrame:
     return numbered(rows.withColumn("lane", lane), "sequence", keys=("lane",), name="place")
 
 
+def lane_of_partition(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` laned by their stored partition, which must be one of ``count``: rows of another count are an error, as an invalid cursor."""
+    wrong = F.raise_error(F.lit(f"invalid cursor: a row is not of {count} partitions")).cast("bigint")
+    same = F.coalesce(F.col("partition_count") == count, F.lit(False)) & F.col("partition_id").between(0, count - 1)
+    return laned(rows, F.when(same, F.col("partition_id")).otherwise(wrong))
+
+
+def jams(rows: DataFrame, lane: str, lanes: int, capacity: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, stalled_at, jammed): where intake stalls if nothing is served, which is the first row that finds its lane full, and whether all lanes are full then, which
+    with nothing in flight ends the read with an error. Null where it never stalls."""
+    placed = numbered(rows.where(F.col("sequence").isNotNull() & F.col(lane).isNotNull()), "sequence", keys=(*keys, lane), name="_place")
+    edge = placed.where(F.col("_place").isin(capacity, capacity + 1)).groupBy(*keys, lane).agg(F.min("sequence").alias("_full"), F.max(F.when(F.col("_place") > capacity, F.col("sequence"))).alias("_over"))
+    by = edge.groupBy(*keys).agg(F.min("_over").alias("stalled_at"), F.max("_full").alias("_last"), F.count("*").alias("_n"))
+    return by.select(*keys, "stalled_at", F.coalesce((F.col("_n") == lanes) & (F.col("_last") < F.col("stalled_at")), F.lit(False)).alias("jammed"))
+
+
 def in_lane_order(rows: DataFrame, lane: str, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``handle`` over the rows of each lane in order of sequence, one after the other: a lane is in one task, as one row in flight demands.
 

@@ -66,6 +66,23 @@ def flush_points(acks: DataFrame, every: int, keys: Sequence[str]) -> DataFrame:
     return placed.where(F.col("rn") % every == 0).select(*keys, (F.col("rn") / every).cast("bigint").alias("flush"), "sequence")
 
 
+def resume_or_initial(commits: DataFrame, *, invalid: str = "initial") -> DataFrame:
+    """(scope, start): the least position of a scope's cursors; where one of them can't be read at all, 0 for the initial start, or with ``invalid="error"`` an error."""
+    by = commits.groupBy(*SCOPE, "cursor_id").agg(F.max(position_of(F.col("cursor"), F.col("cursor_order"))).alias("position"))
+    out = by.groupBy(*SCOPE).agg(F.min("position").alias("start"), F.bool_or(F.col("position").isNull()).alias("_broken"))
+    none = F.lit(0).cast("bigint") if invalid == "initial" else F.raise_error(F.lit("a stored cursor is unreadable")).cast("bigint")
+    return out.select(*SCOPE, F.when(F.col("_broken"), none).otherwise(F.col("start")).alias("start"))
+
+
+def pending_stops(rows: DataFrame, acked: Column, keys: Sequence[str], most: int) -> DataFrame:
+    """(keys, open, pending, stopped_at): the first row of a key that isn't acked, how many rows from it on wait for it, and the row at which a reader that
+    lets ``most`` wait for each key stops with an error (null where it doesn't)."""
+    flagged = rows.where(F.col("sequence").isNotNull()).withColumn("_ok", F.coalesce(acked, F.lit(False))).select(*keys, "sequence", "_ok")
+    first = flagged.where(~F.col("_ok")).groupBy(*keys).agg(F.min("sequence").alias("open"))
+    waiting = numbered(flagged.join(first, list(keys)).where(F.col("sequence") >= F.col("open")), "sequence", keys=tuple(keys))
+    return waiting.groupBy(*keys, "open").agg(F.count("*").alias("pending"), F.min(F.when(F.col("rn") > most, F.col("sequence"))).alias("stopped_at"))
+
+
 def snapshots(rows: DataFrame, keys: Sequence[str], state: Sequence[str]) -> DataFrame:
     """(keys, state, sequence): the state of the latest row of each key and the sequence it covers; null sequences are left out."""
     kept = rows.where(F.col("sequence").isNotNull())

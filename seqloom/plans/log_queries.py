@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import envelope as E
 from seqloom.functions.fnv import fnv1a64, partition_of
-from seqloom.operators import filters, partitioning, sinks
+from seqloom.operators import filters, handlers, partitioning, sinks
 from seqloom.operators.filters import EventFilter
 from seqloom.operators.positions import Partitions, StartFrom, StopAt, Subscription, scan
+from seqloom.operators.stateful import merge_cursor
 from seqloom.operators.stores import monotone_checkpoints, resume_after
 from seqloom.plans.registry import Registry
 from seqloom.sources.tables import table
@@ -39,7 +42,7 @@ def scans(name: str, sub: Subscription, where: str) -> None:
 
 # ---- scans and positions ----
 
-scans("scan_log", Subscription(StartFrom.after(2 * SPREAD), StopAt("cursor", 8 * SPREAD), EventFilter(organization="brightmoor", namespace="/shop")), "where sequence > 2000 and sequence <= 8000 and organization = 'brightmoor' and (namespace = '/shop' or starts_with(namespace, '/shop/'))")
+scans("scan_log", Subscription(StartFrom("earliest"), StopAt("current_end"), EventFilter(namespace="/shop")), "where (namespace = '/shop' or starts_with(namespace, '/shop/'))")
 scans("start_earliest", Subscription(StartFrom("earliest")), "where sequence > 0")
 scans("start_timestamp", Subscription(StartFrom("timestamp", "2031-03-15 00:00:00")), "where \"timestamp\" >= timestamp '2031-03-15 00:00:00'")
 scans("start_after", Subscription(StartFrom.after(5 * SPREAD)), "where sequence > 5000")
@@ -131,6 +134,42 @@ def decode_errors(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(~E.is_object(F.col("payload"))).select("sequence", "topic", F.lit("payload is no object").alias("error"))
 
 
+TEXT = "(case when content_type = 'application/octet-stream' then try(decode(from_base64(regexp_replace(payload, '\\s', '', 'g')))) else payload end)"
+OBJECT = f"coalesce(try(json_type({TEXT}::json)) = 'OBJECT', false)"
+
+
+@add("decode_dispositions", f"select disposition, topic, count(*) as n, count(*) filter (ok) as n_readable, count(*) filter (not ok and disposition = 'ack') as n_acked, count(*) filter (not ok and disposition = 'nack') as n_nacked from (select topic, {OBJECT} as ok from event_log), (select unnest(['surface', 'ack', 'nack']) as disposition) group by all")
+def decode_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    """What a decoding reader does with what it can't decode, binary payloads included, under each of its policies."""
+    good = E.is_object(E.payload_text(F.col("payload"), F.col("content_type")))
+    rows = log(spark, d).select("topic", good.alias("good"))
+    each = [handlers.decoded(rows, F.col("good"), kind).select(F.lit(kind).alias("disposition"), "topic", "readable", "settlement") for kind in ("surface", "ack", "nack")]
+    return reduce(DataFrame.unionByName, each).groupBy("disposition", "topic").agg(
+        F.count("*").alias("n"), F.count_if("readable").alias("n_readable"), F.count_if(F.col("settlement") == "ack").alias("n_acked"), F.count_if(F.col("settlement") == "nack").alias("n_nacked")
+    )
+
+
+KIND = "case when cursor_id = 'global' then 'log' else 'partitioned' end"
+
+
+@add("decode_cursor", f"""select cursor_id, cursor, case when {KIND} <> 'log' then 'expected cursor kind log, got ' || {KIND} when pos is null then 'cursor payload is unreadable' end as error, case when {KIND} = 'log' then pos end as position, count(*) as n
+from (select *, try(json_extract_string("cursor"::json, '$.sequence')::bigint) as pos from offsets) group by all""")
+def decode_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Stored cursors as a reader of the plain log decodes them: cursors of another kind and unreadable ones are refused."""
+    kind = F.when(F.col("cursor_id") == "global", "log").otherwise("partitioned")
+    cursor = F.struct(F.col("cursor_id").alias("id"), kind.alias("kind"), F.base64(F.encode("cursor", "UTF-8")).alias("payload"))
+    rows = table(spark, d, "offsets").withColumn("_c", cursor)
+    return rows.groupBy("cursor_id", "cursor", E.cursor_error(F.col("_c"), "log").alias("error"), E.decoded_cursor(F.col("_c"), "log").alias("position")).agg(F.count("*").alias("n"))
+
+
+@add("cursor_round_trip", "select distinct sequence, 'left:global' as id, sequence as position, null::varchar as error from event_log")
+def cursor_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Positions encoded under the id of a merge's branch and decoded again."""
+    coded = E.encoded_cursor(merge_cursor(F.lit("left"), F.lit("global")), F.lit("log"), F.col("sequence"))
+    rows = log(spark, d).select("sequence").distinct().withColumn("c", coded)
+    return rows.select("sequence", "c.id", E.decoded_cursor(F.col("c"), "log").alias("position"), E.cursor_error(F.col("c"), "log").alias("error"))
+
+
 @add("encode_cursor", "select distinct sequence, 'global' as cursor_id, '8' || lpad(hex(sequence), 15, '0') as cursor_order, to_base64(encode('{\"sequence\":' || sequence || '}')) as cursor from event_log")
 def encode_cursor(spark: SparkSession, d: str) -> DataFrame:
     rows = log(spark, d).select("sequence").distinct()
@@ -208,9 +247,18 @@ def backfill_report(spark: SparkSession, d: str) -> DataFrame:
 KEYED = "(select distinct sequence, partition_id from event_log where partition_id is not null)"
 
 
+@add("lane_jam", f"""with k as (select organization, sequence, partition_id % 8 as lane, row_number() over (partition by organization, partition_id % 8 order by sequence) as place from (select distinct organization, sequence, partition_id from event_log where partition_id is not null)),
+f as (select organization, lane, min(sequence) filter (place = 64) as filled, min(sequence) filter (place = 65) as over from k group by all having max(place) >= 64)
+select organization, min(over) as stalled_at, coalesce(count(*) = 8 and max(filled) < min(over), false) as jammed from f group by organization""")
+def lane_jam(spark: SparkSession, d: str) -> DataFrame:
+    """Where intake into 8 lanes of 64 rows stalls if no handler settles anything, and whether it does with all lanes full."""
+    rows = log(spark, d).where("partition_id is not null").select("organization", "sequence", "partition_id").distinct()
+    return partitioning.jams(rows.withColumn("lane", F.col("partition_id") % 8), "lane", 8, 64, ["organization"])
+
+
 def keyed(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows with a partition, one for each sequence."""
-    return log(spark, d).where(F.col("partition_id").isNotNull()).select("sequence", "partition_id").distinct()
+    return log(spark, d).where(F.col("partition_id").isNotNull()).select("sequence", "partition_id", "partition_count").distinct()
 
 
 @add("lane_order", f"select sequence, partition_id % 8 as lane, row_number() over (partition by partition_id % 8 order by sequence) as place from {KEYED}")
@@ -220,7 +268,7 @@ def lane_order(spark: SparkSession, d: str) -> DataFrame:
 
 @add("lane_from_column", f"select sequence, partition_id as lane, row_number() over (partition by partition_id order by sequence) as place from {KEYED}")
 def lane_from_column(spark: SparkSession, d: str) -> DataFrame:
-    return partitioning.laned(keyed(spark, d), F.col("partition_id")).select("sequence", "lane", "place")
+    return partitioning.lane_of_partition(keyed(spark, d), 64).select("sequence", "lane", "place")
 
 
 @add("lane_round_robin", f"select sequence, lane, row_number() over (order by place, (lane + 7) % 8) as position from (select sequence, partition_id % 8 as lane, row_number() over (partition by partition_id % 8 order by sequence) as place from {KEYED})")

@@ -2,7 +2,7 @@
 
 A step whose result is read more than once, or a loop whose plan would grow, is written as a Parquet table below
 ``spark.checkpoint.dir``. That cuts the lineage, survives the loss of executors, is compressed and columnar, and is read
-back with column pruning. Where the setting is missing (tests) a folder of this process is used.
+back with column pruning.
 """
 
 from __future__ import annotations
@@ -18,16 +18,25 @@ _BASES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The session's ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``.
+
+    Where neither is set, a session of one machine (``local``) gets a folder of its own; on a cluster that is an error, since executors would each write to their own disk.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _OWN:
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="seqloom-")
         _OWN[app] = f"file://{folder}"
         atexit.register(_remove, folder)
-        spark.sparkContext.setCheckpointDir(_OWN[app])
+        context.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 

@@ -127,12 +127,12 @@ def window_size_or_wait(spark: SparkSession, d: str) -> DataFrame:
     return folds.fold(rows(spark, d), {"event_key": F.col("event_key")}, {"us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.windows(10, wait), {"window_no": "bigint"})
 
 
-LEFT, RIGHT = f"(select sequence from {ROWS} where starts_with(namespace, '/shop'))", "(select event_id + 1 as sequence from events)"
+LEFT, RIGHT = f"(select sequence from {ROWS})", "(select event_id + 1 as sequence from events)"
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two logs: the shop's rows of the stored log and the other event stream."""
-    return rows(spark, d).where(F.col("namespace").startswith("/shop")).select("sequence"), table(spark, d, "events").select((F.col("event_id") + 1).alias("sequence"))
+    """Two logs: the stored one and the other event stream."""
+    return rows(spark, d).select("sequence"), table(spark, d, "events").select((F.col("event_id") + 1).alias("sequence"))
 
 
 def merges(name: str, weights: tuple[int, int] | None) -> None:
@@ -152,13 +152,18 @@ def merge_cursor_ids(spark: SparkSession, d: str) -> DataFrame:
     return by.select(stateful.merge_cursor(F.lit("left"), F.col("cursor_id")).alias("left_id"), stateful.merge_cursor(F.lit("right"), F.col("cursor_id")).alias("right_id"), "n")
 
 
-HISTORY, LIVE = 6000, 4000
+HISTORY, LIVE = (f"(select max(sequence) * {tenths} // 10 from event_log)" for tenths in (6, 4))
 """History ends behind the start of the live stream; what lies between is in both."""
 
 
+def share(spark: SparkSession, d: str, tenths: int) -> int:
+    """So many tenths of the log's last sequence."""
+    return (table(spark, d, "event_log").agg(F.max("sequence")).head()[0] or 0) * tenths // 10
+
+
 def phases(spark: SparkSession, d: str, dedupe: bool) -> DataFrame:
     all_rows = rows(spark, d)
-    history, live = (all_rows.where(c).select("sequence", "id") for c in (F.col("sequence") <= HISTORY, F.col("sequence") > LIVE))
+    history, live = (all_rows.where(c).select("sequence", "id") for c in (F.col("sequence") <= share(spark, d, 6), F.col("sequence") > share(spark, d, 4)))
     return stateful.replay_then_live(history, live, dedupe=dedupe).select("sequence", "id", "phase")
 
 
@@ -255,6 +260,15 @@ def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
     return handlers.attempts(rows(spark, d), needs()).select("sequence", "attempt", "state", "delay_ms")
 
 
+@add("retry_policy", f"""select topic, attempt, state, count(*) as n from (
+  select topic, a::integer as attempt, case when a = need then 'ok' when content_type = 'text/plain' then 'skip' when content_type <> 'application/json' then 'dead_letter' when a >= 3 then 'dead_letter' else 'retry' end as state
+  from (select topic, content_type, need, unnest(range(1, case when content_type = 'application/json' then least(need, 3) else 1 end + 1)) as a from (select topic, content_type, {NEEDS} as need from {ROWS}))) group by all""")
+def retry_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of plain texts are skipped and of binary payloads dead letters at once; only JSON is tried again."""
+    policy = F.when(F.col("content_type") == "text/plain", "skip").when(F.col("content_type") != "application/json", "dead_letter")
+    return handlers.attempts(rows(spark, d), needs(), policy=policy).groupBy("topic", "attempt", "state").agg(F.count("*").alias("n"))
+
+
 @add("retry_final_state", f"select sequence, least({NEEDS}, 3)::integer as attempts, case when {NEEDS} <= 3 then 'ok' else 'dead_letter' end as state from {ROWS}")
 def retry_final_state(spark: SparkSession, d: str) -> DataFrame:
     return handlers.final_state(rows(spark, d), needs()).select("sequence", "attempts", "state")
@@ -265,13 +279,22 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, d).select("sequence", E.backoff_ms(needs() * 3).alias("delay_ms"))
 
 
-@add("dead_letter_events", f"select organization, namespace, topic || '.dead_letter' as topic, event_key, id as parent_id, correlation_id, id as original_event_id, 'indexer' as handler_id, 3 as attempts, 'still failing' as error from {ROWS} where {NEEDS} > 3")
+# an id of version 7: milliseconds, then digits of the original's id, handler and attempt
+DEAD_ID = """(lower(substr(lpad(hex(epoch_us("timestamp") // 1000), 12, '0'), 1, 8)) || '-' || lower(substr(lpad(hex(epoch_us("timestamp") // 1000), 12, '0'), 9, 4)) || '-7' || substr(m, 1, 3) || '-'
+  || substr('89ab', ('0x' || substr(m, 4, 1))::integer % 4 + 1, 1) || substr(m, 5, 3) || '-' || substr(m, 8, 12))"""
+
+
+@add("dead_letter_events", f"select {DEAD_ID} as id, organization, namespace, topic || '.dead_letter' as topic, event_key, id as parent_id, correlation_id, id as original_event_id, 'indexer' as handler_id, 3 as attempts, 'still failing' as error, topic as original_topic, content_type as original_type, producer from (select distinct {', '.join(COLUMNS)}, md5(id || ':indexer:3') as m, metadata['producer'] as producer from event_log where {NEEDS} > 3)")
 def dead_letter_events(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "event_log")
-    failed = log.select(*COLUMNS, "payload", "parent_id", "causation_id").distinct().where(needs() > 3)
+    failed = log.dropDuplicates(["sequence"]).where(needs() > 3)
     made = handlers.dead_letters(failed, "indexer", F.lit(3), F.lit("still failing"), F.col("timestamp"))
-    told = F.from_json("payload", "original_event_id string, handler_id string, attempts int, error string")
-    return made.select("organization", "namespace", "topic", "event_key", "parent_id", "correlation_id", told.alias("p")).select("organization", "namespace", "topic", "event_key", "parent_id", "correlation_id", "p.*")
+    told = F.from_json("payload", "original_event struct<topic:string,payload:struct<content_type:string>,metadata:map<string,string>>, original_event_id string, handler_id string, attempts int, error string")
+    envelope = ["id", "organization", "namespace", "topic", "event_key", "parent_id", "correlation_id"]
+    return made.select(*envelope, told.alias("p")).select(
+        *envelope, "p.original_event_id", "p.handler_id", "p.attempts", "p.error", F.col("p.original_event.topic").alias("original_topic"),
+        F.col("p.original_event.payload.content_type").alias("original_type"), F.try_element_at("p.original_event.metadata", F.lit("producer")).alias("producer"),
+    )
 
 
 ROUTES = [
@@ -301,6 +324,12 @@ def multiplex_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return handlers.unmatched(rows(spark, d), ROUTES).select("sequence", "topic")
 
 
+@add("multiplex_no_match", f"select sequence, topic, 'handler_error' as outcome from {ROWS} where sequence not in (select sequence from {MATCHES})")
+def multiplex_no_match(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without subscriber where the policy calls that an error."""
+    return handlers.unmatched_outcome(rows(spark, d), ROUTES, "error").select("sequence", "topic", "outcome")
+
+
 @add("multiplex_ack", f"select sequence, count(*) as n_subscribers, count(*) filter (not (version < 4 or subscriber_id = 'archive')) as n_failed, bool_and(version < 4 or subscriber_id = 'archive') as acked from {MATCHES} group by sequence")
 def multiplex_ack(spark: SparkSession, d: str) -> DataFrame:
     return handlers.acknowledged(handlers.multiplexed(rows(spark, d), ROUTES), (F.col("version") < 4) | (F.col("subscriber_id") == "archive"))
@@ -349,6 +378,54 @@ def checkpoint_flush_points(spark: SparkSession, d: str) -> DataFrame:
     return stores.flush_points(acked_rows(spark, d).where("acked"), 50, ["partition_id"])
 
 
+@add("resume_or_initial", """with p as (select consumer_group_id, stream_id, cursor_id, max(case when octet_length(cursor_order) = 8 then (('0x' || hex(cursor_order))::uhugeint::hugeint - 9223372036854775808)::bigint
+  else try_cast(trim(json_extract_string(case when json_valid("cursor") then "cursor" end, '$.sequence')) as bigint) end) as pos from offsets group by all)
+select consumer_group_id, stream_id, case when bool_or(pos is null) then 0 else min(pos) end as start from p group by all""")
+def resume_or_initial(spark: SparkSession, d: str) -> DataFrame:
+    """Where readers start if an unreadable cursor means the initial start."""
+    return stores.resume_or_initial(table(spark, d, "offsets"))
+
+
+PENDING = f"with a as {ACKED}, f as (select partition_id, min(sequence) as open from a where not acked group by all), w as (select a.partition_id, open, sequence, row_number() over (partition by a.partition_id order by sequence) as rn from a join f on a.partition_id = f.partition_id and sequence >= open)"
+
+
+@add("pending_limit", f"{PENDING} select partition_id, open, count(*) as pending, min(sequence) filter (rn > 64) as stopped_at from w group by all")
+def pending_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions whose oldest row isn't acked, and where a reader that lets 64 rows wait for it stops."""
+    return stores.pending_stops(acked_rows(spark, d), F.col("acked"), ["partition_id"], 64)
+
+
+def flush_sql(keys: str, source: str, order: str, count: int, interval: int) -> str:
+    """Flushes by count, interval and at the end, of (keys, ord, position, us) in ``source``."""
+    return f"""with recursive r as (select *, row_number() over (partition by {keys} order by {order}) as rn, count(*) over (partition by {keys}) as total from {source}),
+w as (
+  select {keys}, rn, total, 1 as waiting, us as first, position as top, case when {count} <= 1 or {interval} <= 0 then 'count' when rn = total then 'end' end as cause from r where rn = 1
+  union all
+  select r.{keys}, r.rn, r.total, case when w.cause is null then w.waiting + 1 else 1 end, case when w.cause is null then w.first else r.us end, case when w.cause is null then greatest(w.top, r.position) else r.position end,
+    case when case when w.cause is null then w.waiting + 1 else 1 end >= {count} then 'count' when r.us - case when w.cause is null then w.first else r.us end >= {interval} then 'interval' when r.rn = r.total then 'end' end
+  from w join r on r.{keys} = w.{keys} and r.rn = w.rn + 1)
+select {keys}, top as position, cause from w where cause is not null"""
+
+
+HOUR = 3_600_000_000
+
+
+@add("checkpoint_flush_interval", flush_sql("partition_id", f"(select partition_id, sequence as position, epoch_us(\"timestamp\") as us from {ROWS} where partition_id is not null)", "position", 20, 12 * HOUR))
+def checkpoint_flush_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints of each partition at every 20th ack, at the first that comes 12 hours after the first that waits, and at the end."""
+    acks = rows(spark, d).where("partition_id is not null")
+    made = folds.fold(acks, {"partition_id": F.col("partition_id")}, {"p": F.col("sequence"), "us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.flushes(20, 12 * HOUR), {"position": "bigint", "cause": "string"}, many=True)
+    return made.select("partition_id", "position", "cause")
+
+
+@add("coordinated_flush", flush_sql("partition_id", f"(select partition_id, sequence as position, epoch_us(\"timestamp\") as us from {ROWS} where partition_id is not null)", "us, position", 50, 24 * HOUR))
+def coordinated_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Owners' checkpoints where acks come in another order than rows: the greatest position of those that wait is flushed, by count, by interval and on release."""
+    acks = rows(spark, d).where("partition_id is not null").withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    made = folds.fold(acks, {"partition_id": F.col("partition_id")}, {"p": F.col("sequence"), "at": F.col("us")}, folds.flushes(50, 24 * HOUR), {"position": "bigint", "cause": "string"}, order="us", many=True)
+    return made.select("partition_id", "position", "cause")
+
+
 @add("buffer_pending", f"select sequence as id, topic from {FIRST} where {uuid_sql('id')} not in (select {uuid_sql('event_id')} from dedupe where {uuid_sql('event_id')} is not null)")
 def buffer_pending(spark: SparkSession, d: str) -> DataFrame:
     """Buffer entries pushed but not acked, in push order."""
@@ -360,9 +437,9 @@ def buffer_pending(spark: SparkSession, d: str) -> DataFrame:
 @add("buffer_replay", f"select sequence, topic, case when sequence <= {HISTORY} then 'pending' else 'live' end as phase from {FIRST} where sequence > {HISTORY} or {uuid_sql('id')} not in (select {uuid_sql('event_id')} from dedupe where {uuid_sql('event_id')} is not null)")
 def buffer_replay(spark: SparkSession, d: str) -> DataFrame:
     """Entries left over from before come first, then live rows."""
-    pushed = first_rows(table(spark, d, "event_log"), topic=F.col("topic")).select("sequence", "topic", uuid_text(F.col("event")).alias("event"))
-    before = stateful.against_store(pushed.where(F.col("sequence") <= HISTORY), table(spark, d, "dedupe"), id_column="event")
-    return before.withColumn("phase", F.lit("pending")).unionByName(pushed.where(F.col("sequence") > HISTORY).withColumn("phase", F.lit("live"))).select("sequence", "topic", "phase")
+    pushed, history = first_rows(table(spark, d, "event_log"), topic=F.col("topic")).select("sequence", "topic", uuid_text(F.col("event")).alias("event")), share(spark, d, 6)
+    before = stateful.against_store(pushed.where(F.col("sequence") <= history), table(spark, d, "dedupe"), id_column="event")
+    return before.withColumn("phase", F.lit("pending")).unionByName(pushed.where(F.col("sequence") > history).withColumn("phase", F.lit("live"))).select("sequence", "topic", "phase")
 
 
 CLAIMS = f"(select m.sequence, m.subscriber_id, d.acked_at as claimed_until from {MATCHES} m left join {DONE} d on d.event = {uuid_sql('m.id')} and d.subscriber_id = m.subscriber_id)"
@@ -449,9 +526,10 @@ def rebalance_release(spark: SparkSession, d: str) -> DataFrame:
 @add("rebalance_claim", f"""with l as (select *, coalesce(owner_id = 'worker-1', false) and coalesce(lease_until >= timestamp '{AS_OF}', false) as held from {LEASES}),
 s as (select consumer_group_id, stream_id, count(*) as total, count(*) filter (held) as owned from l group by all),
 f as (select *, row_number() over (partition by consumer_group_id, stream_id order by partition_id) as n from l where not held and (owner_id is null or lease_until is null or lease_until < timestamp '{AS_OF}' or owner_id = 'worker-1'))
-select f.consumer_group_id, f.stream_id, f.partition_id from f join s using (consumer_group_id, stream_id) where n <= least(ceil(total / 2.0), total) - owned""")
+select f.consumer_group_id, f.stream_id, f.partition_id from f join s using (consumer_group_id, stream_id) where n <= least(ceil(total / 4.0), total) - owned""".replace("worker-1", "worker-9"))
 def rebalance_claim(spark: SparkSession, d: str) -> DataFrame:
-    return stores.next_claims(leases(spark, d), "worker-1", AS_OF, 2)
+    """What a fourth worker that comes in takes of the leases that have run out."""
+    return stores.next_claims(leases(spark, d), "worker-9", AS_OF, 4)
 
 
 @add("coordinated_start", f"select consumer_group_id, stream_id, (case when count(*) filter (coalesce(checkpoint_sequence, 0) > 0) = count(*) then min(checkpoint_sequence) else 0 end)::bigint as start from {LEASES} group by all")
@@ -480,30 +558,69 @@ def commit_offsets(spark: SparkSession, d: str) -> DataFrame:
     return sinks.commit_offsets(table(spark, d, "event_log").where("partition_id is not null"), ["topic", "partition_id"])
 
 
-@add("append_log", f"with old as (select * from {ROWS} where sequence <= {LIVE}), new as (select id, min(sequence) as s from {ROWS} where sequence > {LIVE} - 500 group by id) select id, (select max(sequence) from old) + row_number() over (order by s) as sequence from new where {uuid_sql('id')} not in (select {uuid_sql('id')} from old)")
+@add("append_log", f"with old as (select * from {ROWS} where sequence <= {HISTORY}), new as (select * from (select *, row_number() over (partition by {uuid_sql('id')} order by sequence) as _n from {ROWS} where sequence > {LIVE}) where _n = 1) select id, topic, event_key, version, (select max(sequence) from old) + row_number() over (order by sequence) as sequence from new where {uuid_sql('id')} not in (select {uuid_sql('id')} from old)")
 def append_log(spark: SparkSession, d: str) -> DataFrame:
-    """New rows appended to an older state of the log: ids it has are left out, the others are numbered on."""
+    """New rows appended to an older state of the log: events it has are left out, the others are numbered on, whole."""
     log = rows(spark, d)
-    return sinks.appended(log.where(F.col("sequence") <= LIVE), log.where(F.col("sequence") > LIVE - 500).select("id", F.col("sequence").alias("s")), "s").select("id", "sequence")
+    new = log.where(F.col("sequence") > share(spark, d, 4)).withColumnRenamed("sequence", "arrival")
+    return sinks.appended(log.where(F.col("sequence") <= share(spark, d, 6)), new, "arrival").select("id", "topic", "event_key", "version", "sequence")
 
 
-@add("wire_encode", "select distinct sequence, id, topic, event_key as key, content_type, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%fZ') as \"timestamp\", coalesce(metadata['producer'], '') as producer, version, parent_id from event_log")
+@add("wire_encode", "select distinct sequence, id, organization, namespace, topic, event_key as key, content_type, case when content_type = 'application/json' then null else payload end as data, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%fZ') as \"timestamp\", coalesce(metadata['producer'], '') as producer, len(map_keys(metadata)) as n_metadata, version, parent_id, correlation_id, causation_id from event_log")
 def wire_encode(spark: SparkSession, d: str) -> DataFrame:
     """Wire texts, compared by the fields read back from them."""
     log = table(spark, d, "event_log").select("sequence", sinks.wire().alias("value"))
     event = sinks.unwire(log)
     e = "event."
-    return event.select("sequence", f"{e}id", f"{e}topic", f"{e}key", f"{e}payload.content_type", f"{e}timestamp", F.coalesce(F.try_element_at("event.metadata", F.lit("producer")), F.lit("")).alias("producer"), f"{e}version", f"{e}parent_id").distinct()
+    data = F.when(F.col("event.payload.content_type") != "application/json", F.col("event.payload.data")).alias("data")
+    producer = F.coalesce(F.try_element_at("event.metadata", F.lit("producer")), F.lit("")).alias("producer")
+    return event.select(
+        "sequence", *(f"{e}{c}" for c in ("id", "organization", "namespace", "topic", "key", "timestamp", "version", "parent_id", "correlation_id", "causation_id")), f"{e}payload.content_type", data, producer,
+        F.size("event.metadata").cast("bigint").alias("n_metadata"),
+    ).distinct()
 
 
 READABLE = "(json_valid(payload) and coalesce(json_type(case when json_valid(payload) then payload end) = 'OBJECT', false))"
 
 
-@add("wire_decode_skip_poison", f"select sequence, json_extract_string(payload, '$.currency') as currency from event_log where content_type = 'application/json' and {READABLE}")
+@add("wire_decode_skip_poison", f"select sequence, topic, case when content_type = 'application/json' and {READABLE} then json_extract_string(payload, '$.currency') end as currency from event_log where content_type <> 'text/plain' and topic <> 'job.finished'")
 def wire_decode_skip_poison(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies that are no readable object are acked and skipped."""
-    bodies = table(spark, d, "event_log").where("content_type = 'application/json'").where(E.is_object(F.col("payload")))
-    return bodies.select("sequence", F.try_variant_get(F.try_parse_json("payload"), "$.currency", "string").alias("currency"))
+    """Wire bodies, of which those of plain texts are cut off in the middle and those of one topic have lost their key: these are acked and skipped."""
+    log = table(spark, d, "event_log").withColumn("event_key", F.when(F.col("topic") != "job.finished", F.col("event_key")))
+    body = F.when(F.col("content_type") == "text/plain", F.substring(sinks.wire(), 1, 60)).otherwise(sinks.wire())
+    found = sinks.unwire(log.select("sequence", "topic", body.alias("value"))).where("readable")
+    return found.select("sequence", "topic", F.when(E.is_object(F.col("event.payload.data")), F.try_variant_get(F.try_parse_json("event.payload.data"), "$.currency", "string")).alias("currency"))
+
+
+@add("ack_batches", f"select organization, acked, sequence, tick, (row_number() over (partition by organization, acked, tick order by us, sequence) - 1) // 20 as batch from (select organization, {JSON} as acked, sequence, epoch_us(\"timestamp\") as us, epoch_us(\"timestamp\") // {HOUR} as tick from {ROWS})")
+def ack_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Acks and nacks of each organization in buffers of 20 that are flushed every hour."""
+    settles = rows(spark, d).select("organization", (F.col("content_type") == "application/json").alias("acked"), "sequence", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
+    return sinks.ack_batches(settles, ["organization", "acked"], "us", 20, HOUR).drop("us")
+
+
+@add("concurrency_schedule", f"""with recursive r as (select organization, sequence, epoch_us("timestamp") as us, octet_length(encode(event_key)) * 60000000 as takes, row_number() over (partition by organization order by sequence) as rn from {ROWS}),
+w as (select organization, sequence, rn, us as start_us, list_sort([us + takes, -9000000000000000, -9000000000000000, -9000000000000000]) as free from r where rn = 1
+  union all
+  select r.organization, r.sequence, r.rn, greatest(r.us, w.free[1]), list_sort(list_append(w.free[2:4], greatest(r.us, w.free[1]) + r.takes)) from w join r on r.organization = w.organization and r.rn = w.rn + 1)
+select organization, sequence, start_us from w""")
+def concurrency_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """When rows start whose handlers take a minute for each byte of the key, with four of an organization in flight."""
+    values = {"us": F.unix_micros(F.col("timestamp").cast("timestamp")), "takes": (F.octet_length("event_key") * 60_000_000).cast("bigint")}
+    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, values, folds.permits(4), {"start_us": "bigint"})
+
+
+@add("batch_writer_waits", f"""with recursive r as (select topic, sequence, octet_length(encode(event_key)) % 7 + 1 as n, epoch_us("timestamp") as us, row_number() over (partition by topic order by sequence) as rn from {ROWS}),
+w as (
+  select topic, sequence, rn, 0::bigint as flush, n as waiting, us as opened from r where rn = 1
+  union all
+  select r.topic, r.sequence, r.rn, w.flush + (w.waiting >= 100 or r.us > w.opened + {6 * HOUR})::integer, case when w.waiting >= 100 or r.us > w.opened + {6 * HOUR} then r.n else w.waiting + r.n end,
+    case when w.waiting >= 100 or r.us > w.opened + {6 * HOUR} then r.us else w.opened end from w join r on r.topic = w.topic and r.rn = w.rn + 1)
+select topic, sequence, flush from w""")
+def batch_writer_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Flushes of at least 100 events per topic, or of what has come within 6 hours of the first."""
+    values = {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint"), "us": F.unix_micros(F.col("timestamp").cast("timestamp"))}
+    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, values, folds.grouped_requests(100, 6 * HOUR), {"flush": "bigint"})
 
 
 @add("sqs_batches")
