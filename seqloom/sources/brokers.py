@@ -5,12 +5,15 @@ Spark's Kafka connector is a separate jar; nothing here needs it until a stream
 
 from __future__ import annotations
 
+import importlib
 import json
+import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from seqloom.operators.folds import batches
 from seqloom.operators.positions import InvalidCursor, StartFrom, Subscription
@@ -60,17 +63,27 @@ class QueueClient(Protocol):
 
 
 class QueueReader:
-    """Polls a queue; poison is deleted and skipped, other messages are handed on with their handle. ``limit`` ends the stream."""
+    """Polls a queue; poison is deleted and skipped, other messages are handed on with their handle.
 
-    def __init__(self, client: QueueClient, decode: Callable[[str], object], *, wait_s: int = MOST_WAIT_S):
-        self.client, self.decode, self.wait_s = client, decode, min(wait_s, MOST_WAIT_S)
+    An empty poll is followed by the next one, and a failed one by another after ``pause_s``. ``limit`` messages, ``polls`` empty polls in a row (for ever without) or
+    ``stop()`` end the stream.
+    """
 
-    def read(self, limit: int | None = None) -> Iterator[tuple[str, object]]:
-        given = 0
-        while limit is None or given < limit:
-            messages = self.client.receive(MOST_ENTRIES if limit is None else min(MOST_ENTRIES, limit - given), self.wait_s)
-            if not messages:
-                return
+    def __init__(self, client: QueueClient, decode: Callable[[str], object], *, wait_s: int = MOST_WAIT_S, pause_s: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+        self.client, self.decode, self.wait_s, self.pause_s, self._sleep, self._stopped = client, decode, min(wait_s, MOST_WAIT_S), pause_s, sleep, False
+
+    def stop(self) -> None:
+        self._stopped = True
+
+    def read(self, limit: int | None = None, polls: int | None = None) -> Iterator[tuple[str, object]]:
+        given, empty = 0, 0
+        while not self._stopped and (limit is None or given < limit) and (polls is None or empty < polls):
+            try:
+                messages = self.client.receive(MOST_ENTRIES if limit is None else min(MOST_ENTRIES, limit - given), self.wait_s)
+            except OSError:  # the service can't be reached
+                self._sleep(self.pause_s)
+                continue
+            empty = 0 if messages else empty + 1
             for handle, body in messages:
                 try:
                     event = self.decode(body)
@@ -88,6 +101,52 @@ class QueueReader:
                     raise RuntimeError(f"{len(failed)} messages could not be settled")
 
 
+class QueueStream(SimpleDataSourceStreamReader):
+    """Messages of a queue as (handle, value); those of a micro-batch are deleted once it is committed, others come again when their time is over."""
+
+    def __init__(self, options: dict):
+        module, _, name = options["client"].partition(":")
+        self.client = getattr(importlib.import_module(module), name)()
+        self.most, self.polls = int(options.get("most", 1000)), int(options.get("polls", 1))
+        self.held: dict[int, list[str]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"batch": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        found = list(QueueReader(self.client, str).read(self.most, self.polls))
+        if not found:
+            return iter(()), start
+        end = start["batch"] + 1
+        self.held[end] = [handle for handle, _ in found]
+        return iter(found), {"batch": end}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """After a restart: what was received but not committed comes from the queue again."""
+        return iter(())
+
+    def commit(self, end: dict) -> None:
+        for batch in sorted(b for b in self.held if b <= end["batch"]):
+            QueueReader(self.client, str).settle(self.held.pop(batch))
+
+
+class QueueSource(DataSource):
+    """Format ``seqloom_queue``. Options: ``client`` (``module:function`` that makes the client), ``most`` (messages per micro-batch), ``polls`` (empty polls that end one).
+
+    The service hands messages out one poll at a time, so the driver receives them; a micro-batch holds at most ``most``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "seqloom_queue"
+
+    def schema(self) -> str:
+        return "handle string, value string"
+
+    def simpleStreamReader(self, schema) -> QueueStream:
+        return QueueStream(self.options)
+
+
 def queue_writer(make_client: Callable[[], QueueClient]) -> Callable[[Iterator], Iterator]:
     """Function for ``mapInPandas`` that sends the wire texts of ``value`` in batches and yields how many were sent per partition.
 

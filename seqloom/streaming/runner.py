@@ -12,12 +12,14 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seqloom.functions.ids import event_key_of
 from seqloom.operators.filters import settled
 
 
@@ -63,23 +65,25 @@ class Consumer:
 
 
 def deduplicated(stream: DataFrame, *, event_time: str | None = None, lateness: str = "1 day") -> DataFrame:
-    """One row per id; with an event time the memory of ids is bounded by the lateness."""
+    """One row per event, ids compared as UUIDs; rows without id are no events and pass. With an event time the memory of ids is bounded by the lateness; without
+    one it holds every id there has been, so that an event is left out however late it comes again."""
+    # rows without id must not be taken for one another
+    keyed = stream.withColumn("_event", F.coalesce(event_key_of(F.col("id")), F.encode(F.concat_ws(":", F.lit("none"), F.col("sequence").cast("string")), "UTF-8")))
     if event_time is None:
-        return stream.dropDuplicates(["id"])
-    return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["id"])
+        return keyed.dropDuplicates(["_event"]).drop("_event")
+    return keyed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["_event"]).drop("_event")
 
 
 def _gate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     mark = state.get[0] if state.exists else None
     rows = pd.concat(list(parts)).sort_values("sequence", kind="stable")
-    passed = []
-    for i, us in enumerate(rows["us"]):
-        if mark is None or us > mark:
-            mark = us
-            passed.append(i)
-    if mark is not None:
-        state.update((int(mark),))
-    yield rows.iloc[passed].drop(columns="us")
+    us = rows["us"].to_numpy()
+    # a row passes if it is after the greatest before it, passed or not: a row that didn't pass was not greater
+    before = np.concatenate([[np.iinfo(np.int64).min if mark is None else mark], us[:-1]])
+    passed = us > np.maximum.accumulate(before)
+    if passed.any():
+        state.update((int(us[passed][-1]),))
+    yield rows[passed].drop(columns="us")
 
 
 def monotone_gate(stream: DataFrame, key: str) -> DataFrame:

@@ -366,6 +366,49 @@ def test_dead_letters(make_log):
     assert '"original_event_id":"' + uid(1) in made["payload"] and '"attempts":3' in made["payload"]
 
 
+def test_policies(spark, make_log):
+    log = make_log({"content_type": "a"}, {"content_type": "b"}, {"content_type": "c"}, {"content_type": None})
+    policy = F.when(F.col("content_type") == "a", "skip").when(F.col("content_type") == "b", "dead_letter")
+    assert rows(handlers.attempts(log, F.lit(2), 3, policy).select("sequence", "attempt", "state")) == [(1, 1, "skip"), (2, 1, "dead_letter"), (3, 1, "retry"), (3, 2, "ok"), (4, 1, "retry"), (4, 2, "ok")]
+    good = F.when(F.col("sequence") > 2, F.col("content_type") == "c")
+    for kind, want in (("surface", None), ("ack", "ack"), ("nack", "nack")):
+        assert rows(handlers.decoded(log, good, kind).select("sequence", "readable", "settlement")) == sorted([(1, False, want), (2, False, want), (3, True, None), (4, False, want)], key=repr)
+    for wrong in (lambda: handlers.decoded(log, good, "drop"), lambda: handlers.unmatched_outcome(log, [], "skip")):
+        with pytest.raises(ValueError):
+            wrong()
+    assert [r["outcome"] for r in handlers.unmatched_outcome(log, [], "error").collect()] == ["handler_error"] * 4
+
+
+def test_encoded_cursors(spark):
+    df = values(spark, "bigint", 5, -1, 2**62)
+    coded = df.withColumn("c", E.encoded_cursor(F.lit("global"), F.lit("log"), F.col("x")))
+    assert all(a == b for a, b in coded.select("x", E.decoded_cursor(F.col("c"), "log")).collect())
+    assert coded.select(E.decoded_cursor(F.col("c"), "kafka").alias("p"), E.cursor_error(F.col("c"), "kafka").alias("e")).distinct().collect() == [(None, "expected cursor kind kafka, got log")]
+    broken = values(spark, "string", "e30=", "!", None).select(F.struct(F.lit("log").alias("kind"), F.col("x").alias("payload")).alias("c"))
+    assert [r[0] for r in broken.select(E.cursor_error(F.col("c"), "log")).collect()] == ["cursor payload is unreadable"] * 3
+
+
+def test_flushes_permits_and_waits(spark):
+    df = spark.createDataFrame([(1, 5, 0), (2, 9, 10), (3, 7, 20), (4, 8, 30), (5, 1, 99), (6, 2, 100)], "sequence bigint, p bigint, us bigint")
+    made = folds.fold(df, {}, {"p": F.col("p"), "us": F.col("us")}, folds.flushes(3, 50), {"position": "bigint", "cause": "string"}, many=True)
+    assert rows(made.select("position", "cause")) == [(2, "end"), (8, "interval"), (9, "count")]
+    assert run_fold(spark, [1, 1, 1, 1], folds.grouped_requests(3), {"f": "bigint"}) == [(0,), (0,), (0,), (1,)]
+    two = folds.fold(df, {}, {"us": F.col("us"), "t": F.lit(25).cast("bigint")}, folds.permits(2), {"at": "bigint"}).orderBy("sequence")
+    assert [r["at"] for r in two.collect()] == [0, 10, 25, 35, 99, 100]
+    waits = folds.fold(df, {}, {"n": F.lit(1).cast("bigint"), "us": F.col("us")}, folds.grouped_requests(100, 15), {"f": "bigint"}).orderBy("sequence")
+    assert [r["f"] for r in waits.collect()] == [0, 0, 1, 1, 2, 2]
+
+
+def test_jams_and_pending(spark, make_log):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([0, 1, 0, 1, 0, 1], 1)] + [(None, 0)], "sequence bigint, lane int")
+    assert rows(partitioning.jams(df, "lane", 2, 2)) == [(5, True)]
+    assert rows(partitioning.jams(df, "lane", 3, 2)) == [(5, False)] and rows(partitioning.jams(df, "lane", 2, 3)) == [(None, False)]
+    assert rows(stores.pending_stops(df, F.col("sequence") < 3, ["lane"], 1)) == [(0, 3, 2, 5), (1, 4, 2, 6)]
+    assert rows(stores.pending_stops(df, F.lit(True), ["lane"], 1)) == []
+    with pytest.raises(Exception, match="invalid cursor"):
+        partitioning.lane_of_partition(make_log({"partition_id": 1, "partition_count": 32}), 64).collect()
+
+
 def test_multiplexer(spark, make_log):
     routes = [handlers.Route("a", EventFilter(topic="t")), handlers.Route("b", EventFilter(organization="acme"))]
     log = make_log({"topic": "t"}, {"organization": "x"}, {"organization": None})

@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 from datetime import timedelta
 
 import pandas as pd
@@ -9,9 +10,11 @@ import pytest
 from conftest import START, uid
 from pyspark.sql import functions as F
 
-from seqloom.operators import stateful
-from seqloom.operators.positions import InvalidCursor, StartFrom
+from seqloom.operators import sinks, stateful
+from seqloom.operators.filters import EventFilter
+from seqloom.operators.positions import InvalidCursor, Partitions, StartFrom
 from seqloom.sources import brokers
+from seqloom.sources.model import Duplex
 from seqloom.streaming import runner
 from seqloom.streaming.source import LogSource, LogStream
 from seqloom.streaming.state import ConfigError, Coordinator, OwnershipLost, Store
@@ -134,6 +137,66 @@ def test_log_source_offsets(spark, data, tmp_path):
     assert source.initialOffset() == source.latestOffset() == {"sequence": end}
 
 
+def test_the_stream_takes_every_filter_of_the_table(spark, data, tmp_path):
+    spark.dataSource.register(LogSource)
+    path = f"{data}/event_log.parquet"
+    stored = spark.read.parquet(path)
+    live = spark.readStream.format("seqloom_log").option("path", path).option("range", 300).load()
+    assert {c: t for c, t in live.dtypes} == {c: t for c, t in stored.dtypes}
+    one = stored.where("partition_id is not null").orderBy("sequence").head()
+    for n, sub in enumerate((
+        EventFilter(organization=one["organization"], topic=one["topic"]), EventFilter(namespace="/shop"), EventFilter(keys=[one["event_key"], "none"]), EventFilter(metadata={"producer": one["metadata"]["producer"]}),
+        EventFilter(end_at="2031-03-10 00:00:00"), Partitions(64, [one["partition_id"], 3]),
+    )):
+        got = collected(live.where(sub.column()), tmp_path, f"live{n}")
+        assert sorted(map(repr, got.drop("metadata").collect())) == sorted(map(repr, stored.where(sub.column()).select(*live.columns).drop("metadata").collect())) and got.count()
+
+
+def test_log_files_are_pruned_and_batches_limited(spark, tmp_path, make_log, monkeypatch):
+    path = f"{tmp_path}/log"
+    add = lambda low, high: make_log(*({"sequence": i} for i in range(low, high))).coalesce(1).write.mode("append").parquet(path)
+    add(1, 51)
+    add(51, 101)
+    source = LogStream({"path": path, "range": "20", "most": "30"})
+    assert source.initialOffset() == {"sequence": 0} and [source.latestOffset()["sequence"] for _ in range(5)] == [30, 60, 90, 100, 100]
+    parts = source.partitions({"sequence": 0}, {"sequence": 100})
+    assert [(p.low, p.high, len(p.files)) for p in parts] == [(0, 20, 1), (20, 40, 1), (40, 60, 2), (60, 80, 1), (80, 100, 1)]
+    assert sum(b.num_rows for p in parts for b in source.read(p)) == 100
+    monkeypatch.setattr("seqloom.streaming.source.MOST_TASKS", 2)
+    assert [(p.low, p.high) for p in source.partitions({"sequence": 0}, {"sequence": 100})] == [(0, 50), (50, 100)]
+    add(90, 95)
+    with pytest.raises(ValueError, match="handed out"):
+        source.latestOffset()
+    spark.dataSource.register(LogSource)
+    live = spark.readStream.format("seqloom_log").option("path", path).option("most", 40).load().select("sequence")
+    assert collected(live, tmp_path, "limited").count() == 105
+
+
+def test_stream_dedupe_takes_spellings_for_one_id(spark, tmp_path):
+    data = [(1, uid(1), "o", "t", START), (2, uid(1).upper(), "o", "t", START), (3, None, "o", "t", START), (4, None, "o", "t", START), (5, "{" + uid(2) + "}", "o", "t", START), (6, uid(2), "o", "t", START)]
+    spark.createDataFrame(data, SHORT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = collected(runner.deduplicated(runner.file_stream(spark, f"{tmp_path}/in", SHORT)), tmp_path, "spellings")
+    assert sorted(r["sequence"] for r in got.collect()) == [1, 3, 4, 5]
+
+
+def test_memory_sink_and_time_limit(spark, folder, tmp_path):
+    query = sinks.memory_sink(runner.file_stream(spark, merged_files(folder), SHORT), "kept", f"{tmp_path}/kept")
+    query.awaitTermination()
+    assert spark.table("kept").count() == 46
+    done = []
+    sinks.write_with_timeout(spark, lambda: done.append(spark.range(5).count()), 60)
+    assert done == [5]
+    slow = spark.range(4).repartition(4).mapInPandas(lambda parts: (time.sleep(30) or p for p in parts), "id bigint")
+    with pytest.raises(TimeoutError):
+        sinks.write_with_timeout(spark, lambda: slow.write.format("noop").mode("overwrite").save(), 1)
+
+    def broken():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        sinks.write_with_timeout(spark, broken, 60)
+
+
 # ---- control plane ----
 
 
@@ -253,6 +316,44 @@ def test_queue_reader_skips_poison():
         reader.settle([], ["bad"])
 
 
+def test_queue_reader_goes_on_after_empty_and_failed_polls():
+    queue, polls, waits = Queue([]), iter([[("a", "1")], OSError("gone"), [], [("b", "2")], [], [], [("c", "3")]]), []
+
+    def receive(most, wait_s):
+        found = next(polls)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    queue.receive = receive
+    reader = brokers.QueueReader(queue, int, sleep=waits.append)
+    assert list(reader.read(polls=2)) == [("a", 1), ("b", 2)] and waits == [1.0]
+    given = reader.read()
+    assert next(given) == ("c", 3)
+    reader.stop()
+    assert list(given) == []
+
+
+def test_queue_as_a_stream():
+    brokers.test_queue = Queue(["x", "y", "z"])
+    brokers.test_client = lambda: brokers.test_queue
+    source = brokers.QueueStream({"client": "seqloom.sources.brokers:test_client", "most": "2"})
+    rows, end = source.read(source.initialOffset())
+    assert list(rows) == [("0", "x"), ("1", "y")] and brokers.test_queue.deleted == []
+    source.commit(end)
+    rows, end = source.read(end)
+    assert list(rows) == [("2", "z")] and brokers.test_queue.deleted == ["0", "1"]
+    rows, last = source.read(end)
+    assert list(rows) == [] and last == end
+    del brokers.test_queue, brokers.test_client
+
+
+def test_duplex(spark, make_log, tmp_path):
+    both = Duplex(lambda df: df.write.mode("append").parquet(f"{tmp_path}/d"), lambda: spark.read.parquet(f"{tmp_path}/d"))
+    both.write(make_log({}, {}))
+    assert both.read().count() == 2
+
+
 def test_queue_writer_batches():
     queue = Queue()
     write = brokers.queue_writer(lambda: queue)
