@@ -3,8 +3,8 @@
 Dense accumulator arrays: every input split, whatever keys it holds, is dictionary-encoded and reduced with numpy
 (``bincount`` for counts, scatter minimum and maximum for the rest) to one array per accumulator and key block. Splits are
 equal shares of the bytes, so a key that holds a third of all rows costs each split the same as any other. What leaves a split is at
-most one entry per distinct key, and blocks of arrays are summed in two rounds, so the reducing task of a hot key's block gets one entry
-per split and not its rows.
+most one entry per distinct key, and blocks of arrays are summed in a tree of rounds, so the reducing task of a hot key's block gets ``FAN`` arrays
+however many splits there are, and never its rows.
 
 Defined results: a null value of a field has its own entry with ``is_null``; empty text is a value like any other;
 repeated rows all count (every stored row); an empty table gives no rows. Null sequences and timestamps are ignored by
@@ -28,7 +28,7 @@ BLOCK_ROWS = 1 << 18
 most about BLOCK_ROWS entries even where every key is distinct."""
 
 FAN = 32
-"""Partial arrays merged by one task of the first round: at most (splits / FAN) rounds up."""
+"""Partial arrays merged by one task of a round; there are so many rounds that the last task gets no more of them either."""
 
 PARTIAL = "field int, block int, lane int, names array<string>, n array<bigint>, last array<bigint>, lo array<bigint>, hi array<bigint>"
 TOP, BOTTOM = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -133,7 +133,7 @@ def _merge(table: pa.Table) -> tuple[int, int, Accumulator]:
 def _reduce(table: pa.Table) -> pa.Table:
     """Arrays of one block and lane summed into one."""
     field, block, whole = _merge(table)
-    row = {"field": field, "block": block, "lane": 0, "names": list(whole.code), "n": whole.n, "last": whole.last, "lo": whole.lo, "hi": whole.hi}
+    row = {"field": field, "block": block, "lane": table.column("lane")[0].as_py() // FAN, "names": list(whole.code), "n": whole.n, "last": whole.last, "lo": whole.lo, "hi": whole.hi}
     return pa.Table.from_pylist([row], SCHEMA)
 
 
@@ -163,8 +163,9 @@ def key_totals(rows: DataFrame, fields: list[str], *, sequence: str | None = Non
         columns += [F.col(sequence).cast("bigint").alias("s"), F.unix_micros(F.col(timestamp).cast("timestamp")).alias("t")]
     split = rows.select(*columns)
     parts = split.mapInArrow(_split(len(fields), spans, max(8, (total or rows.count()) // BLOCK_ROWS)), PARTIAL)
-    if split.rdd.getNumPartitions() > FAN:
-        parts = parts.groupBy("field", "block", "lane").applyInArrow(_reduce, PARTIAL)
+    lanes = -(-split.rdd.getNumPartitions() // FAN)
+    while lanes > 1:
+        parts, lanes = parts.groupBy("field", "block", "lane").applyInArrow(_reduce, PARTIAL), -(-lanes // FAN)
     done = parts.groupBy("field", "block").applyInArrow(_finish, FINAL)
     name = F.element_at(F.array(*(F.lit(f) for f in fields)), F.col("field") + 1)
     stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
