@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import envelope as E
-from seqloom.functions.fnv import fnv1a64, partition_of
+from seqloom.functions.fnv import fnv1a64, unsigned_mod
 from seqloom.operators import filters, handlers, partitioning, sinks
 from seqloom.operators.filters import EventFilter
 from seqloom.operators.positions import Partitions, StartFrom, StopAt, Subscription, scan
@@ -201,7 +201,8 @@ def fnv1a64_query(spark: SparkSession, d: str) -> DataFrame:
 
 @add("partition_assign", f"select sequence, (u % 7)::bigint as p7, (u % 64)::bigint as p64 from (select sequence, {fnv_sql('event_key')} as u from event_log)")
 def partition_assign(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).select("sequence", partition_of(F.col("event_key"), 7).alias("p7"), partition_of(F.col("event_key"), 64).alias("p64"))
+    hashed = log(spark, d).select("sequence", fnv1a64(F.col("event_key")).alias("h"))
+    return hashed.select("sequence", unsigned_mod(F.col("h"), 7).alias("p7"), unsigned_mod(F.col("h"), 64).alias("p64"))
 
 
 def resolves(name: str, resolver, text: str) -> None:
