@@ -81,16 +81,34 @@ def _refuse(name: str) -> None:
 KINDS = {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}
 
 
-@lru_cache(1 << 16)
+_NOT_MARKS, _MARKS = re.compile(r"[^\W_]+"), re.compile(r"[\W_]+")
+_HEX = re.compile("[0-9a-f]{8,}")
+_DIGITS = b"0123456789"
+_ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
+_OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def _taken_apart(text: str) -> tuple[str, str]:
+    """Marks of a text in order, and the classes of its letters and digits."""
+    if text.isascii():
+        raw = text.encode()
+        marks, body = raw.translate(None, _ALNUM).decode(), raw.translate(None, _OTHER)
+        digit, upper, lower = len(body.translate(None, _DIGITS)) < len(body), body != body.lower(), body != body.upper()
+        body = body.decode()
+    else:
+        marks, body = _NOT_MARKS.sub("", text), _MARKS.sub("", text)
+        digit, upper, lower = any(map(str.isdigit, body)), any(map(str.isupper, body)), any(map(str.islower, body))
+    if _HEX.fullmatch(body):
+        return marks, "h"
+    return marks, "9" * digit + "A" * upper + "a" * lower
+
+
 def form_of(text: str) -> str:
     """Form of a text: its marks in order (by their hash where they are many), the classes of its letters and digits, and its length (by powers of two from 17 on)."""
-    marks = re.sub(r"[^\W_]+", "", text)
-    body = re.sub(r"[\W_]+", "", text)
-    classes = "".join(
-        c for c, is_in in (("9", any(map(str.isdigit, body))), ("A", any(map(str.isupper, body))), ("a", any(map(str.islower, body))), ("h", bool(re.fullmatch("[0-9a-f]{8,}", body)))) if is_in
-    )
-    if "h" in classes:
-        classes = "h"
+    return _form(text, *_taken_apart(text))
+
+
+def _form(text: str, marks: str, classes: str) -> str:
     return f"{marks if len(marks) <= 16 else _hash.__wrapped__(marks)}|{classes}|{len(text) if len(text) <= 16 else 16 + (len(text) - 1).bit_length()}"
 
 
@@ -102,9 +120,9 @@ def _hash(text: str) -> str:
 @lru_cache(1 << 16)
 def _forms(text: str) -> tuple[str, str]:
     """Form of a text, and its rough form: whether it has white space, whether it has other marks, and the classes of its letters and digits."""
-    form = form_of(text)
-    rough = f"{'s' * bool(re.search(r'\s', text))}{'m' * bool(re.search(r'[^\w\s]|_', text))}|{form.rsplit('|', 2)[1]}"
-    return form, rough
+    marks, classes = _taken_apart(text)
+    solid = "".join(marks.split())
+    return _form(text, marks, classes), f"{'s' * (len(solid) < len(marks))}{'m' * bool(solid)}|{classes}"
 
 
 def _describe(value: object, kind: str, into: dict) -> None:
