@@ -39,6 +39,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.containers(table(spark, d, "documents")))
 
 
+@registry.add("p8_bounded")
+def p8_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Containers in which all three capacities bind: 2,048 tokens, 4 documents, and the attention cost of half a container filled by one."""
+    return packing.pack(tokens.token_counts(table(spark, d, "documents")), documents=4, attention=packing.ATTENTION // 4)
+
+
 @registry.add("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return privacy.personal_items(table(spark, d, "documents"), table(spark, d, "contributors"), privacy.key_of(spark)).select("doc_id", "kind", "value")

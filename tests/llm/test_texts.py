@@ -290,6 +290,14 @@ def test_queries_run_on_stored_tables(spark, data):
     assert queries.registry.queries["p7_ids"](spark, data).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
 
 
+def test_every_capacity_binds(spark, data):
+    filled = packing.fill(queries.registry.queries["p8_bounded"](spark, data)).collect()
+    assert max(r["n_pieces"] for r in filled) == 4 and all(r["n_tokens"] <= 2048 and r["attention_cost"] <= 2048 * 512 for r in filled)
+    assert any(r["n_pieces"] == 4 and r["unused"] > 100 for r in filled) and any(r["attention_cost"] > 2048 * 512 * 0.99 for r in filled)
+    tokens_in = queries.registry.queries["p7_counts"](spark, data).groupBy().sum("n_tokens").head()[0]
+    assert sum(r["n_tokens"] for r in filled) == tokens_in
+
+
 def test_no_item_is_left_in_redacted_texts(spark, data):
     """What is found once is gone from the redacted text."""
     clean = queries.registry.queries["p9_redacted"](spark, data)
