@@ -81,7 +81,7 @@ def order_bytes(position: Column) -> Column:
 
 def is_object(payload: Column) -> Column:
     """Whether text is a readable JSON object; false for null."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(payload.rlike(r"^\s*\{") & F.try_parse_json(payload).isNotNull(), F.lit(False))
 
 
 def backoff_ms(attempt: Column, base: float = 100, multiplier: float = 2.0, most: float = 30_000) -> Column:

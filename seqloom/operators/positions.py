@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.envelope import envelope_error, namespace_of
+from seqloom.functions.ids import uuid_key
 from seqloom.operators.filters import EventFilter
 
 
@@ -74,11 +76,19 @@ def end_of(log: DataFrame, organization: str | None = None, column: str = "seque
     return rows.agg(F.coalesce(F.max(column), F.lit(0)).alias("end"))
 
 
-def scan(log: DataFrame, sub: Subscription, *, as_of: int | None = None) -> DataFrame:
+def checked(rows: DataFrame) -> DataFrame:
+    """``rows``, of which the first that breaks a rule of the envelope ends the read with an error."""
+    error = envelope_error(F.col("organization"), namespace_of(F.col("namespace")), F.col("topic"), F.col("event_key"), F.col("content_type"), F.col("metadata"))
+    error = F.coalesce(error, F.when(uuid_key(F.col("id")).isNull(), "id"))
+    fine = F.when(error.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("serialization error: no event, "), error)).cast("boolean"))
+    return rows.where(fine)
+
+
+def scan(log: DataFrame, sub: Subscription, *, as_of: int | None = None, strict: bool = False) -> DataFrame:
     """The rows a subscription delivers, in order where it has a limit.
 
     ``as_of`` freezes the log's end as seen at the start: ``latest`` starts behind it and ``current_end`` stops at it. Null sequences are never
-    delivered; an empty log gives no rows; a limit of 0 gives none.
+    delivered; an empty log gives no rows; a limit of 0 gives none. With ``strict`` a row that is no valid event ends the read (:func:`checked`); the filter comes first.
     """
     rows = log.where(F.col("sequence").isNotNull())
     seen = rows if as_of is None else rows.where(F.col("sequence") <= as_of)
@@ -97,7 +107,8 @@ def scan(log: DataFrame, sub: Subscription, *, as_of: int | None = None) -> Data
     rows = rows.where(sub.filter.column())
     if sub.partitions is not None:
         rows = rows.where(sub.partitions.column())
-    return rows if sub.limit is None else rows.orderBy("sequence").limit(sub.limit)
+    rows = rows if sub.limit is None else rows.orderBy("sequence").limit(sub.limit)
+    return checked(rows) if strict else rows
 
 
 def _end(rows: DataFrame, sub: Subscription) -> int:

@@ -120,6 +120,16 @@ def test_positions(spark, make_log):
         scan(start=StartFrom("yesterday"))
 
 
+def test_strict_scan_ends_at_an_invalid_row(spark, make_log):
+    log = make_log({}, {"topic": "No Topic"}, {"id": "x", "organization": "other"})
+    sub = Subscription(StartFrom("earliest"), filter=EventFilter(organization="acme"))
+    assert seqs(positions.scan(log, sub)) == [1, 2]
+    for s, why in ((sub, "topic"), (Subscription(StartFrom.after(2)), "id")):
+        with pytest.raises(PySparkException, match=f"no event, {why}"):
+            positions.scan(log, s, strict=True).collect()
+    assert seqs(positions.scan(log, Subscription(StartFrom("earliest"), StopAt("cursor", 1)), strict=True)) == [1]
+
+
 def test_resume_seeds():
     sub = Subscription(StartFrom("earliest"))
     assert sub.with_starts([StartFrom.after(9), StartFrom.after(4), StartFrom("latest")]).start == StartFrom.after(4)

@@ -266,6 +266,27 @@ def test_coordinators_share_partitions():
     assert b.step(200) == [0, 1, 2, 3, 4] and a.step(201) == []  # a's leases ran out, then it finds them lost
 
 
+def test_coordinators_keep_acks_back_and_flush_on_release():
+    s, seen = Store(), []
+    a = Coordinator(s, "g", "s", "a", 4, flush_acks=3, flush_s=10, changed=seen.append)
+    a.step(0)
+    assert [a.ack(3, p, t) for p, t in ((5, 0), (9, 1), (7, 2), (8, 3), (11, 14), (20, 15))] == [False, False, True, False, True, False]
+    assert s.claim("g", "s", 3, 4, "a", 16).checkpoint == 11
+    with pytest.raises(OwnershipLost):
+        a.ack(9, 1, 0)
+    a = Coordinator(s, "h", "s", "a", 4, flush_acks=9, changed=seen.append)
+    a.step(0)
+    a.ack(3, 20, 1)
+    b = Coordinator(s, "h", "s", "b", 4)
+    b.step(1)
+    assert a.step(2) == [0, 1] and b.step(3) == [2, 3]  # what waited was flushed before the partition went over
+    assert b.leases[3].checkpoint == 20 and seen == [[0, 1, 2, 3], [0, 1, 2, 3], [0, 1]]
+    a.ack(0, 4, 5)
+    a.shut_down()
+    assert a.leases == {} and s.claim("h", "s", 0, 4, "b", 6).checkpoint == 4
+    assert [Coordinator.pause(10, x) for x in (0, 1)] == [10, 12]
+
+
 # ---- brokers ----
 
 
