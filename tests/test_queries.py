@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seqloom.operators import heavy_keys, hierarchy, incremental, late_events, lookup, ordering
 from seqloom.plans import log_queries, problems, stream_queries
 
 REGISTRIES = [problems.registry, log_queries.registry, stream_queries.registry]
@@ -41,6 +42,26 @@ def test_query_equals_its_sql(spark, data, base, name):
     assert found(df.columns, [tuple(r) for r in df.collect()]) == found(want.columns, want.fetchall())
 
 
+CROSSING = [
+    "p1_found", "p1_batches", "p2_found", "p2_key_totals", "p3_found", "p4_found", "p4_changes", "p6_found", "p6_paths", "p6_cycles", "lane_order", "lane_round_robin", "watermark_per_key", "watermark_monotone",
+    "batch_by_count", "merge_weighted", "rate_schedule", "checkpoint_resume", "checkpoint_flush_points", "pending_limit", "lane_jam", "append_log",
+]
+
+
+@pytest.mark.parametrize("name", CROSSING)
+def test_query_equals_its_sql_across_borders(spark, data, base, name, monkeypatch):
+    """The same with blocks, spans and limits so small that these tables have many of each and every branch is taken."""
+    for module, limits in (
+        (ordering, {"BLOCK": 100}), (late_events, {"BLOCK": 100, "COARSE": 8}), (incremental, {"SPAN": 64, "FANOUT": 4, "RANGES": 3}), (lookup, {"HOT": 40}), (hierarchy, {"HOT": 40, "SMALL": 5, "DEEP": 2}),
+        (heavy_keys, {"BLOCK_ROWS": 64, "FAN": 2}),
+    ):
+        for limit, value in limits.items():
+            monkeypatch.setattr(module, limit, value)
+    df = QUERIES[name](spark, data)
+    want = base.sql(SQL[name])
+    assert found(df.columns, [tuple(r) for r in df.collect()]) == found(want.columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, data, name):
     df = QUERIES[name](spark, data)
