@@ -22,9 +22,14 @@ ROWS = f"(select distinct {', '.join(COLUMNS)} from event_log)"
 """Stored rows in SQL, one for each sequence."""
 
 
-def rows(spark: SparkSession, d: str) -> DataFrame:
-    """Stored rows, one for each sequence: rows of equal sequence are equal."""
-    return table(spark, d, "event_log").select(*COLUMNS).distinct()
+def rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Stored rows, one for each sequence: rows of equal sequence are equal. Only the ``columns`` named, if any, are read and moved."""
+    return table(spark, d, "event_log").select("sequence", *columns).distinct() if columns else table(spark, d, "event_log").select(*COLUMNS).distinct()
+
+
+def numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The stored sequences, each once."""
+    return table(spark, d, "event_log").select("sequence").distinct()
 
 
 FIRST = f"(select * from (select *, row_number() over (partition by {uuid_sql('id')} order by sequence) as _n from {ROWS}) where _n = 1)"
@@ -39,7 +44,7 @@ def dedupe_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 @add("dedupe_against_store", f"select sequence, id from {ROWS} where {uuid_sql('id')} not in (select {uuid_sql('event_id')} from dedupe where {uuid_sql('event_id')} is not null)")
 def dedupe_against_store(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.against_store(rows(spark, d), table(spark, d, "dedupe")).select("sequence", "id")
+    return stateful.against_store(rows(spark, d, "id"), table(spark, d, "dedupe")).select("sequence", "id")
 
 
 # repeats only: `skipped` holds the places of those left out so far; a repeat is left out if fewer than 1,000 rows were delivered since its event last was
@@ -57,7 +62,7 @@ select r.organization, r.sequence, not coalesce(list_contains(s.skipped, r.rn),
 @add("dedupe_bounded", BOUNDED)
 def dedupe_bounded(spark: SparkSession, d: str) -> DataFrame:
     """Bounded first-in, first-out memory of 1,000 ids per organization."""
-    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, {"event": F.hex(event_key_of(F.col("id")))}, folds.bounded_memory(1000), {"delivered": "boolean"})
+    return folds.fold(rows(spark, d, "id", "organization"), {"organization": F.col("organization")}, {"event": F.hex(event_key_of(F.col("id")))}, folds.bounded_memory(1000), {"delivered": "boolean"})
 
 
 # ---- monotone gate ----
@@ -71,12 +76,12 @@ def gate_sql(keys: str) -> str:
 
 @add("watermark_monotone", gate_sql(""))
 def watermark_monotone(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.monotone_gate(rows(spark, d)).select("sequence", "organization", "timestamp")
+    return stateful.monotone_gate(rows(spark, d, "organization", "timestamp")).select("sequence", "organization", "timestamp")
 
 
 @add("watermark_per_key", gate_sql("partition by organization"))
 def watermark_per_key(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.monotone_gate(rows(spark, d), keys=["organization"]).select("sequence", "organization", "timestamp")
+    return stateful.monotone_gate(rows(spark, d, "organization", "timestamp"), keys=["organization"]).select("sequence", "organization", "timestamp")
 
 
 @add("watermark_resume", f"""with stored as (select regexp_extract(key, '^([a-z0-9_-]+)@[0-9]+$', 1) as organization, max(ts) as watermark from watermarks where regexp_full_match(key, '[a-z0-9_-]+@[0-9]+') group by 1)
@@ -87,7 +92,7 @@ def watermark_resume(spark: SparkSession, d: str) -> DataFrame:
     """A reader that loads each organization's stored watermark first."""
     form = r"^([a-z0-9_-]+)@[0-9]+$"
     stored = table(spark, d, "watermarks").where(F.col("key").rlike(form)).groupBy(F.regexp_extract("key", form, 1).alias("organization")).agg(F.max("ts").alias("watermark"))
-    return stateful.monotone_gate(rows(spark, d), keys=["organization"], initial=stored).select("sequence", "organization", "timestamp")
+    return stateful.monotone_gate(rows(spark, d, "organization", "timestamp"), keys=["organization"], initial=stored).select("sequence", "organization", "timestamp")
 
 
 # ---- batches, windows, merges ----
@@ -97,17 +102,17 @@ BATCHED = f"(select *, (rn - 1) // 64 as batch, ((rn - 1) % 64)::integer as idx
 
 @add("batch_by_count", f"select sequence, batch, idx from {BATCHED}")
 def batch_by_count(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.batched(rows(spark, d), 64).select("sequence", "batch", "idx")
+    return stateful.batched(numbers(spark, d), 64).select("sequence", "batch", "idx")
 
 
 @add("batch_ack_subset", f"select sequence, batch, idx, idx in (0, 3, 63) as settled from {BATCHED}")
 def batch_ack_subset(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.settle_subset(stateful.batched(rows(spark, d), 64), 64, [0, 3, 63]).select("sequence", "batch", "idx", "settled")
+    return stateful.settle_subset(stateful.batched(numbers(spark, d), 64), 64, [0, 3, 63]).select("sequence", "batch", "idx", "settled")
 
 
 @add("batch_cursor", f"select batch, arg_min(id, idx) as cursor_id, arg_max(sequence, idx) as cursor_order from {BATCHED} group by batch")
 def batch_cursor(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.batch_cursors(stateful.batched(rows(spark, d), 64))
+    return stateful.batch_cursors(stateful.batched(rows(spark, d, "id"), 64))
 
 
 @add("window_size_or_wait", f"""with recursive r as (
@@ -124,7 +129,7 @@ select event_key, sequence, number as window_no from w""")
 def window_size_or_wait(spark: SparkSession, d: str) -> DataFrame:
     """Micro-windows of 10 rows or 6 hours per event key, on event time."""
     wait = 6 * 3600 * 1_000_000
-    return folds.fold(rows(spark, d), {"event_key": F.col("event_key")}, {"us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.windows(10, wait), {"window_no": "bigint"})
+    return folds.fold(rows(spark, d, "event_key", "timestamp"), {"event_key": F.col("event_key")}, {"us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.windows(10, wait), {"window_no": "bigint"})
 
 
 LEFT, RIGHT = f"(select sequence from {ROWS})", "(select event_id + 1 as sequence from events)"
@@ -132,7 +137,7 @@ LEFT, RIGHT = f"(select sequence from {ROWS})", "(select event_id + 1 as sequenc
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two logs: the stored one and the other event stream."""
-    return rows(spark, d).select("sequence"), table(spark, d, "events").select((F.col("event_id") + 1).alias("sequence"))
+    return numbers(spark, d), table(spark, d, "events").select((F.col("event_id") + 1).alias("sequence"))
 
 
 def merges(name: str, weights: tuple[int, int] | None) -> None:
@@ -162,7 +167,7 @@ def share(spark: SparkSession, d: str, tenths: int) -> int:
 
 
 def phases(spark: SparkSession, d: str, dedupe: bool) -> DataFrame:
-    all_rows = rows(spark, d)
+    all_rows = rows(spark, d, "id")
     history, live = (all_rows.where(c).select("sequence", "id") for c in (F.col("sequence") <= share(spark, d, 6), F.col("sequence") > share(spark, d, 4)))
     return stateful.replay_then_live(history, live, dedupe=dedupe).select("sequence", "id", "phase")
 
@@ -182,7 +187,7 @@ def replay_no_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @add("rate_schedule", f"select sequence, (row_number() over (order by sequence) - 1) * 1000000 // 300 as release_us from {ROWS}")
 def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.release_times(rows(spark, d), 300).select("sequence", "release_us")
+    return stateful.release_times(numbers(spark, d), 300).select("sequence", "release_us")
 
 
 DONE = f"(select {uuid_sql('event_id')} as event, subscriber_id, min(completed_at) as acked_at from multiplexer_completions where {uuid_sql('event_id')} is not null group by 1, 2)"
@@ -200,7 +205,7 @@ JSON = "content_type = 'application/json'"
 
 
 def routes_of(spark: SparkSession, d: str, **policy: bool) -> DataFrame:
-    return stateful.routed(rows(spark, d), F.col("content_type") == "application/json", F.col("topic") != "payment.settled", **policy)
+    return stateful.routed(rows(spark, d, "content_type", "topic"), F.col("content_type") == "application/json", F.col("topic") != "payment.settled", **policy)
 
 
 @add("route_acked", f"select sequence, topic from {ROWS} where {JSON}")
@@ -234,30 +239,30 @@ def needs():
 
 @add("handler_outcome", f"select sequence, case when {JSON} then 'ok' else 'error' end as outcome from {ROWS}")
 def handler_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return handlers.handled(rows(spark, d), F.col("content_type") == "application/json").select("sequence", "outcome")
+    return handlers.handled(rows(spark, d, "content_type"), F.col("content_type") == "application/json").select("sequence", "outcome")
 
 
 @add("handler_filtered", f"select sequence, case when topic = 'inventory.adjusted' and not {JSON} then 'error' else 'ok' end as outcome from {ROWS}")
 def handler_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return handlers.handled(rows(spark, d), F.col("content_type") == "application/json", only=EventFilter(topic="inventory.adjusted")).select("sequence", "outcome")
+    return handlers.handled(rows(spark, d, "content_type", "topic"), F.col("content_type") == "application/json", only=EventFilter(topic="inventory.adjusted")).select("sequence", "outcome")
 
 
 @add("handler_timeout", f"select sequence, case when {TAKES_MS} > 150 then 'timeout' when {JSON} then 'ok' else 'error' end as outcome from {ROWS}")
 def handler_timeout(spark: SparkSession, d: str) -> DataFrame:
-    return handlers.handled(rows(spark, d), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150).select("sequence", "outcome")
+    return handlers.handled(rows(spark, d, "content_type", "event_key"), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150).select("sequence", "outcome")
 
 
 @add("consumer_outcomes", f"select topic, outcome, count(*) as n from (select topic, case when {TAKES_MS} > 150 then 'handler_timeout' when {JSON} then 'ack' else 'handler_error' end as outcome from {ROWS}) group by all")
 def consumer_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What a consumer settles: ack, or nack with the reason."""
-    done = handlers.handled(rows(spark, d), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150)
+    done = handlers.handled(rows(spark, d, "content_type", "topic", "event_key"), F.col("content_type") == "application/json", duration_ms=takes_ms(), timeout_ms=150)
     reason = F.when(F.col("outcome") == "ok", "ack").when(F.col("outcome") == "timeout", "handler_timeout").otherwise("handler_error")
     return done.groupBy("topic", reason.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @add("retry_attempts", f"select sequence, a::integer as attempt, case when a = need then 'ok' when a >= 3 then 'dead_letter' else 'retry' end as state, case when a < need and a < 3 then least(100.0::double * pow(2.0, a - 1), 30000.0) end as delay_ms from (select sequence, need, unnest(range(1, least(need, 3) + 1)) as a from (select sequence, {NEEDS} as need from {ROWS}))")
 def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
-    return handlers.attempts(rows(spark, d), needs()).select("sequence", "attempt", "state", "delay_ms")
+    return handlers.attempts(rows(spark, d, "event_key"), needs()).select("sequence", "attempt", "state", "delay_ms")
 
 
 @add("retry_policy", f"""select topic, attempt, state, count(*) as n from (
@@ -266,17 +271,17 @@ def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
 def retry_policy(spark: SparkSession, d: str) -> DataFrame:
     """Failures of plain texts are skipped and of binary payloads dead letters at once; only JSON is tried again."""
     policy = F.when(F.col("content_type") == "text/plain", "skip").when(F.col("content_type") != "application/json", "dead_letter")
-    return handlers.attempts(rows(spark, d), needs(), policy=policy).groupBy("topic", "attempt", "state").agg(F.count("*").alias("n"))
+    return handlers.attempts(rows(spark, d, "event_key", "topic", "content_type"), needs(), policy=policy).groupBy("topic", "attempt", "state").agg(F.count("*").alias("n"))
 
 
 @add("retry_final_state", f"select sequence, least({NEEDS}, 3)::integer as attempts, case when {NEEDS} <= 3 then 'ok' else 'dead_letter' end as state from {ROWS}")
 def retry_final_state(spark: SparkSession, d: str) -> DataFrame:
-    return handlers.final_state(rows(spark, d), needs()).select("sequence", "attempts", "state")
+    return handlers.final_state(rows(spark, d, "event_key"), needs()).select("sequence", "attempts", "state")
 
 
 @add("retry_backoff", f"select sequence, least(100.0::double * pow(2.0, {NEEDS} * 3 - 1), 30000.0) as delay_ms from {ROWS}")
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
-    return rows(spark, d).select("sequence", E.backoff_ms(needs() * 3).alias("delay_ms"))
+    return rows(spark, d, "event_key").select("sequence", E.backoff_ms(needs() * 3).alias("delay_ms"))
 
 
 # an id of version 7: milliseconds, then digits of the original's id, handler and attempt
@@ -350,13 +355,13 @@ select consumer_group_id, stream_id, count(*) as n, min(sequence) as first from
 def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
     """What each reader with a global cursor still has before it: rows are counted in blocks of sequences, and only the cursor's own block row by row."""
     marks = stores.monotone_checkpoints(table(spark, d, "offsets")).where("cursor_id = 'global'").select(*stores.SCOPE, "position")
-    return stores.remaining_counts(rows(spark, d).select("sequence"), marks, "position")
+    return stores.remaining_counts(numbers(spark, d), marks, "position")
 
 
 @add("snapshot_latest", f"select event_key, arg_max(topic, sequence) as topic, arg_max(version, sequence) as version, max(sequence) as sequence from {ROWS} group by event_key")
 def snapshot_latest(spark: SparkSession, d: str) -> DataFrame:
     """State of each key after its latest row, and the row it covers."""
-    return stores.snapshots(rows(spark, d), ["event_key"], ["topic", "version"])
+    return stores.snapshots(rows(spark, d, "event_key", "topic", "version"), ["event_key"], ["topic", "version"])
 
 
 ACKED = f"(select l.sequence, l.partition_id, {uuid_sql('l.id')} in (select {uuid_sql('event_id')} from dedupe where {uuid_sql('event_id')} is not null) as acked from {ROWS} l where l.partition_id is not null)"
@@ -365,7 +370,7 @@ ACKED = f"(select l.sequence, l.partition_id, {uuid_sql('l.id')} in (select {uui
 def acked_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows with a partition and whether the store of processed ids has their event."""
     done = table(spark, d, "dedupe").select(uuid_key(F.col("event_id")).alias("event")).where("event is not null").distinct().withColumn("acked", F.lit(True))
-    return rows(spark, d).where("partition_id is not null").select("sequence", "partition_id", uuid_key(F.col("id")).alias("event")).join(done, "event", "left").select("sequence", "partition_id", F.coalesce("acked", F.lit(False)).alias("acked"))
+    return rows(spark, d, "partition_id", "id").where("partition_id is not null").select("sequence", "partition_id", uuid_key(F.col("id")).alias("event")).join(done, "event", "left").select("sequence", "partition_id", F.coalesce("acked", F.lit(False)).alias("acked"))
 
 
 @add("checkpoint_contiguous", f"with a as {ACKED}, f as (select partition_id, min(sequence) filter (not acked) as open from a group by all) select a.partition_id, max(a.sequence) filter (f.open is null or a.sequence < f.open) as checkpoint from a join f using (partition_id) group by a.partition_id")
@@ -413,7 +418,7 @@ HOUR = 3_600_000_000
 @add("checkpoint_flush_interval", flush_sql("partition_id", f"(select partition_id, sequence as position, epoch_us(\"timestamp\") as us from {ROWS} where partition_id is not null)", "position", 20, 12 * HOUR))
 def checkpoint_flush_interval(spark: SparkSession, d: str) -> DataFrame:
     """Checkpoints of each partition at every 20th ack, at the first that comes 12 hours after the first that waits, and at the end."""
-    acks = rows(spark, d).where("partition_id is not null")
+    acks = rows(spark, d, "partition_id", "timestamp").where("partition_id is not null")
     made = folds.fold(acks, {"partition_id": F.col("partition_id")}, {"p": F.col("sequence"), "us": F.unix_micros(F.col("timestamp").cast("timestamp"))}, folds.flushes(20, 12 * HOUR), {"position": "bigint", "cause": "string"}, many=True)
     return made.select("partition_id", "position", "cause")
 
@@ -421,7 +426,7 @@ def checkpoint_flush_interval(spark: SparkSession, d: str) -> DataFrame:
 @add("coordinated_flush", flush_sql("partition_id", f"(select partition_id, sequence as position, epoch_us(\"timestamp\") as us from {ROWS} where partition_id is not null)", "us, position", 50, 24 * HOUR))
 def coordinated_flush(spark: SparkSession, d: str) -> DataFrame:
     """Owners' checkpoints where acks come in another order than rows: the greatest position of those that wait is flushed, by count, by interval and on release."""
-    acks = rows(spark, d).where("partition_id is not null").withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    acks = rows(spark, d, "partition_id", "timestamp").where("partition_id is not null").withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp")))
     made = folds.fold(acks, {"partition_id": F.col("partition_id")}, {"p": F.col("sequence"), "at": F.col("us")}, folds.flushes(50, 24 * HOUR), {"position": "bigint", "cause": "string"}, order="us", many=True)
     return made.select("partition_id", "position", "cause")
 
@@ -541,7 +546,7 @@ def coordinated_start(spark: SparkSession, d: str) -> DataFrame:
 def coordinated_resume(spark: SparkSession, d: str) -> DataFrame:
     """Rows an owner still forwards of its partitions; the cursors are as few as there are partitions, so each row meets a handful."""
     mine = leases(spark, d).where("owner_id = 'worker-1'").select(*stores.SCOPE, F.col("partition_id").cast("bigint").alias("partition_id"), "checkpoint_sequence")
-    return rows(spark, d).select("sequence", "partition_id").join(mine, "partition_id").where(F.col("sequence") > F.col("checkpoint_sequence")).select(*stores.SCOPE, "sequence")
+    return rows(spark, d, "partition_id").select("sequence", "partition_id").join(mine, "partition_id").where(F.col("sequence") > F.col("checkpoint_sequence")).select(*stores.SCOPE, "sequence")
 
 
 # ---- settlement, commits and sinks ----
@@ -595,7 +600,7 @@ def wire_decode_skip_poison(spark: SparkSession, d: str) -> DataFrame:
 @add("ack_batches", f"select organization, acked, sequence, tick, (row_number() over (partition by organization, acked, tick order by us, sequence) - 1) // 20 as batch from (select organization, {JSON} as acked, sequence, epoch_us(\"timestamp\") as us, epoch_us(\"timestamp\") // {HOUR} as tick from {ROWS})")
 def ack_batches(spark: SparkSession, d: str) -> DataFrame:
     """Acks and nacks of each organization in buffers of 20 that are flushed every hour."""
-    settles = rows(spark, d).select("organization", (F.col("content_type") == "application/json").alias("acked"), "sequence", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
+    settles = rows(spark, d, "organization", "content_type", "timestamp").select("organization", (F.col("content_type") == "application/json").alias("acked"), "sequence", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
     return sinks.ack_batches(settles, ["organization", "acked"], "us", 20, HOUR).drop("us")
 
 
@@ -607,7 +612,7 @@ select organization, sequence, start_us from w""")
 def concurrency_schedule(spark: SparkSession, d: str) -> DataFrame:
     """When rows start whose handlers take a minute for each byte of the key, with four of an organization in flight."""
     values = {"us": F.unix_micros(F.col("timestamp").cast("timestamp")), "takes": (F.octet_length("event_key") * 60_000_000).cast("bigint")}
-    return folds.fold(rows(spark, d), {"organization": F.col("organization")}, values, folds.permits(4), {"start_us": "bigint"})
+    return folds.fold(rows(spark, d, "organization", "event_key", "timestamp"), {"organization": F.col("organization")}, values, folds.permits(4), {"start_us": "bigint"})
 
 
 @add("batch_writer_waits", f"""with recursive r as (select topic, sequence, octet_length(encode(event_key)) % 7 + 1 as n, epoch_us("timestamp") as us, row_number() over (partition by topic order by sequence) as rn from {ROWS}),
@@ -620,7 +625,7 @@ select topic, sequence, flush from w""")
 def batch_writer_waits(spark: SparkSession, d: str) -> DataFrame:
     """Flushes of at least 100 events per topic, or of what has come within 6 hours of the first."""
     values = {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint"), "us": F.unix_micros(F.col("timestamp").cast("timestamp"))}
-    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, values, folds.grouped_requests(100, 6 * HOUR), {"flush": "bigint"})
+    return folds.fold(rows(spark, d, "topic", "event_key", "timestamp"), {"topic": F.col("topic")}, values, folds.grouped_requests(100, 6 * HOUR), {"flush": "bigint"})
 
 
 @add("sqs_batches")
@@ -638,7 +643,7 @@ w as (
 select topic, sequence, flush from w""")
 def batch_writer_groups(spark: SparkSession, d: str) -> DataFrame:
     """Requests of 1 to 7 events gathered to flushes of at least 100, per topic."""
-    return folds.fold(rows(spark, d), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"})
+    return folds.fold(rows(spark, d, "topic", "event_key"), {"topic": F.col("topic")}, {"n": (F.octet_length("event_key") % 7 + 1).cast("bigint")}, folds.grouped_requests(100), {"flush": "bigint"})
 
 
 # one step for each row served; a row enters as soon as fewer than 128 of its lane wait, and holds up those behind it until then
@@ -657,20 +662,20 @@ select organization, k.sequence, k.lane, w.position from w join k using (organiz
 @add("lane_depth_weighted", LANES)
 def lane_depth_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Service of 8 lanes by depth, with room for 128 rows each, per organization."""
-    lanes = rows(spark, d).where("partition_id is not null")
+    lanes = rows(spark, d, "organization", "partition_id").where("partition_id is not null")
     made = folds.fold(lanes, {"organization": F.col("organization")}, {"lane": (F.col("partition_id") % 8).cast("int")}, folds.deepest_lane(8, 128), {"served": "bigint", "lane": "int", "position": "bigint"}, many=True)
     return made.select("organization", F.col("served").alias("sequence"), "lane", "position")
 
 
 @add("writer_map", f"select sequence, topic || '.v' || version as topic from {ROWS}")
 def writer_map(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.mapped(rows(spark, d), {"topic": F.concat("topic", F.lit(".v"), F.col("version").cast("string"))}, valid=F.col("version") > 0).select("sequence", "topic")
+    return sinks.mapped(rows(spark, d, "topic", "version"), {"topic": F.concat("topic", F.lit(".v"), F.col("version").cast("string"))}, valid=F.col("version") > 0).select("sequence", "topic")
 
 
 @add("writer_flat_map", f"select sequence, unnest(str_split(topic, '.')) as part from {ROWS} where version <> 2")
 def writer_flat_map(spark: SparkSession, d: str) -> DataFrame:
     """None for version 2, else one event per part of the topic."""
-    return sinks.flat_mapped(rows(spark, d), F.when(F.col("version") != 2, F.split("topic", r"\.")), "part").select("sequence", "part")
+    return sinks.flat_mapped(rows(spark, d, "topic", "version"), F.when(F.col("version") != 2, F.split("topic", r"\.")), "part").select("sequence", "part")
 
 
 @add("writer_filter", f"select sequence, topic from {ROWS} where topic = 'job.finished'")
