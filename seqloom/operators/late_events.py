@@ -159,10 +159,11 @@ class State:
         seen = self.sizes.where("n > 0").groupBy("organization").agg(F.max("period").alias("seen"))
         return seen.join(self.cuts.where("n > 0").groupBy("organization").agg(F.max("value").alias("cut")), "organization", "full")
 
-    def advance(self, rows: DataFrame, saves: DataFrame, end: int, scratch: Scratch) -> State:
+    def advance(self, rows: DataFrame, saves: DataFrame, end: int, scratch: Scratch, *, last: bool = False) -> State:
         """The state after the rows and saves of sequences up to ``end`` that came since; ``rows`` are :func:`arrivals` with size and event_key, and every event's first row.
 
-        The batch is classified against the frontier of the state, and its counts are added; the rows of earlier batches are not needed.
+        The batch is classified against the frontier of the state, and its counts are added; the rows of earlier batches are not needed. After the ``last`` batch
+        only what is read more than once is written.
         """
         since = F.lit(True) if self.end is None else F.col("sequence") > self.end
         new = lambda df: df.where(since & (F.col("sequence") <= end))
@@ -174,7 +175,8 @@ class State:
             "keys": (PERIOD, _counted(kept, PERIOD, F.col("event_key"))),
             "cuts": (["organization"], _counted(saves, ["organization"], F.col("ts").cast("timestamp_ntz"))),
         }
-        return State(**{k: scratch.keep(adjust(getattr(self, k), delta, keys), k) for k, (keys, delta) in parts.items()}, end=end)
+        made = {k: adjust(getattr(self, k), delta, keys) for k, (keys, delta) in parts.items()}
+        return State(**{k: scratch.keep(x, k) if k == "sizes" or not last else x for k, x in made.items()}, end=end)
 
     def counts(self) -> DataFrame:
         """Per organization and period: rows on time, corrected, dropped, the corrected count and the exact median, distinct number and extremes of the
@@ -200,5 +202,5 @@ def period_counts(log: DataFrame, watermarks: DataFrame, batches: int = 1) -> Da
     first, last = log.agg(F.coalesce(F.min("sequence"), F.lit(0)), F.coalesce(F.max("sequence"), F.lit(0))).head()
     state = State.empty(log.sparkSession)
     for i in range(1, batches + 1):
-        state = state.advance(rows, saves, first + (last - first) * i // batches, scratch)
+        state = state.advance(rows, saves, first + (last - first) * i // batches, scratch, last=i == batches)
     return state.counts()
